@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrella.session import table
 
-from . import langid, near_dup, packing, quality, rules, sharding, topk
+from . import kneser_ney, langid, near_dup, packing, pieces, quality, rules, sharding, substring, topk
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +22,25 @@ def op3_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigrams: all n-grams of the training rows are kept, and those of order 2 fit the disk allowed."""
+    return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids (and the end id) in as few rows of 1024 as best-fit decreasing gives."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has too: one row for each, with both doc_ids."""
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,10 +53,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_kd_sharding, op3_ball_tree_topk, op5_best_fit_packing, op8_quality_classifier, op9_language_id, op10_quality_rules)
-}
+_ALL = (
+    op1_minhash_near_dedup, op2_kd_sharding, op3_ball_tree_topk, op4_kneser_ney, op5_best_fit_packing,
+    op6_substring_dedup, op7_sentencepiece, op8_quality_classifier, op9_language_id, op10_quality_rules,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 #: The rest has no SQL: minima, trees, models and packings are checked against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op3_ball_tree_topk": """
