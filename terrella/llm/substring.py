@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .blocks import SPACE, Block, blocks, mix64
 from .near_dup import _attach
 from .scratch import materialize
+from .sift import rows_of
 
 #: A chunk ends where ``MASK_BITS`` bits of the rolling hash are zero: 32 bytes on average.
 WINDOW, MASK_BITS = 32, 5
@@ -131,8 +132,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     evidence = hits.groupBy("doc_id", "owner_id", "distance").agg(F.sum("words").alias("w")).filter(F.col("w") >= min(EVIDENCE_WORDS, min_words))
     pairs = materialize(evidence.select("doc_id", "owner_id", "distance"), "evidence")
     ids = pairs.select(F.col("doc_id").alias("id")).union(pairs.select("owner_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(ids, "id", "left_semi")
-    texts = materialize(texts, "passages")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    texts = materialize(rows_of(texts, "id", ids), "passages")
     full = _attach(pairs, "owner_id", texts, {"text": "tb"}, "doc_id")
     full = full.join(texts.select(F.col("id").alias("doc_id"), F.col("text").alias("ta")), "doc_id").select("doc_id", "owner_id", "distance", "ta", "tb")
     kind = "doc_id long, owner_id long, start long, end long, owner_start long, n_words long"
