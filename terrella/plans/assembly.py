@@ -1 +1,40 @@
-"""To come."""
+"""Whole tiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import render
+from .registry import query
+
+
+def world(p):
+    """The cell grid laid down at the equator and the zero meridian, as the renderer's layers."""
+    return p.cell.select((9000 + F.col("row")).alias("row"), (18000 + F.col("col")).alias("col"), "elev", "water", "biome", (F.col("fa") % 250).alias("capacity"))
+
+
+def tiles(p):
+    """The tiles of zoom 12 that lie on the grid's first columns."""
+    xy = p.spark.range(2048, 2056).select(F.col("id").alias("x")).crossJoin(p.spark.range(2048, 2050).select(F.col("id").alias("y")))
+    return xy.select(F.lit(12).alias("z"), "x", "y")
+
+
+@query()
+def render_tiles(p):
+    """Sixteen tiles of the elevation layer, as digests of their bytes."""
+    t = render.render(tiles(p), render.world_chunks(world(p)))
+    return t.select("z", "x", "y", F.length("png").alias("n_bytes"), F.md5("png").alias("digest"))
+
+
+@query()
+def render_biome_tiles(p):
+    t = render.render(tiles(p).filter("x < 2052"), render.world_chunks(world(p)), "biome")
+    return t.select("z", "x", "y", F.length("png").alias("n_bytes"), F.md5("png").alias("digest"))
+
+
+@query("cell", "SELECT row, col, CAST(elev AS FLOAT) AS value FROM cell")
+def chunk_round_trip(p):
+    """Cells to dense chunks and back."""
+    from ..operators import raster
+
+    return raster.from_chunks(raster.to_chunks(p.cell, "elev", render.SIDE), render.SIDE)
