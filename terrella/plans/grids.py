@@ -112,14 +112,14 @@ def reclass_lut(p):
     return p.cell.select("row", "col", relief().cast("int").alias("relief"))
 
 
-@query("cell", f"""SELECT row, col, round(CASE WHEN elev > 40 AND water NOT IN (1, 2) AND d < 1 THEN 1.0 WHEN water IN (1, 2) THEN least(d, elev) ELSE d END, 5) AS elev
+@query("cell", f"""SELECT row, col, round(CASE WHEN elev > 40 AND water NOT IN (1, 2) AND d < 1 THEN 1.0 WHEN water IN (1, 2) THEN least(d, elev) ELSE d END, 3) AS elev
 FROM (SELECT row, col, elev, water, elev + ({h_sql('col', 'row', '5')} - 0.5) * 2 * 6 * {_RELIEF} * 0.35 AS d FROM cell)""")
 def microrelief_clamp(p):
     """Added relief never raises water above its anchor, and never sinks inland ground below 1 m."""
     d = F.col("elev") + (h6(F.col("col"), F.col("row"), 5) - 0.5) * 2 * 6 * relief() * 0.35
     wet = scalar.water_is(F.col("water"), "OCEAN", "LAKE")
     c = p.cell.withColumn("d", d)
-    return c.select("row", "col", r(F.when((F.col("elev") > 40) & ~wet & (F.col("d") < 1), 1.0).when(wet, F.least("d", F.col("elev").cast("double"))).otherwise(F.col("d")), "elev", 5))
+    return c.select("row", "col", r(F.when((F.col("elev") > 40) & ~wet & (F.col("d") < 1), 1.0).when(wet, F.least("d", F.col("elev").cast("double"))).otherwise(F.col("d")), "elev", 3))
 
 
 _STOPS = ", ".join(f"({i}, CAST({x} AS DOUBLE), CAST({rgb(c)[0]} AS DOUBLE), CAST({rgb(c)[1]} AS DOUBLE), CAST({rgb(c)[2]} AS DOUBLE))" for i, (x, c) in enumerate(ELEVATION_STOPS))

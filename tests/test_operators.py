@@ -138,9 +138,10 @@ def test_geojson_round_trip(spark, tmp_path):
         {"type": "Feature", "properties": {"feature_id": 9}, "geometry": {"type": "Point", "coordinates": [5, 6]}},
     ]}
     (tmp_path / "f.geojson").write_text(json.dumps(doc))
-    got = geojson.read_features(spark, str(tmp_path / "f.geojson")).orderBy("feature_id").collect()
+    read = geojson.read_features(spark, str(tmp_path / "f.geojson")).orderBy("feature_id")
+    got = read.collect()
     assert [(r.feature_id, r.geom_type, len(r.points), r.hidden) for r in got] == [(4, "POLYGON", 4, False), (8, "LINESTRING", 2, True), (9, "POINT", 1, False)]
-    back = geojson.collection_rows(spark.createDataFrame(got), ["feature_id"]).collect()
+    back = geojson.collection_rows(read, ["feature_id"]).collect()
     assert json.loads(back[1].value)["geometry"] == {"type": "LineString", "coordinates": [[0.0, 0.0], [2.0, 3.0]]}
 
 
