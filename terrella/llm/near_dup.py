@@ -4,14 +4,15 @@
    digest, full MinHash minima hashed into band keys, and a packed signature that
    retains only the low bits of the minima.
 2. Texts with equal sets form a class; everything after works on one document of each class.
-3. A band bucket proposes pairs.  Every member is paired with the bucket's smallest id
-   (a star, linear in the bucket), never with every other member.
+3. A band bucket proposes pairs.  Each document is first paired with the ``HOOKS`` smallest
+   of its buckets' smallest ids: linear in documents, however large a bucket is.
 4. Pairs pass if the similarity estimated from signature bits, corrected for chance
    collisions, is not far below the threshold; then both full sets are compared.
 5. Components of the links found so far label each document.  A bucket whose members all
    bear one label can add nothing.  In the others, each member outside the commonest label is
    compared with all members of other labels, in blocks of bounded size, on packed
-   signatures.  So no bucket is capped, and no proposed pair that could join two components goes unseen.
+   signatures: first only its most promising pair is confirmed, then, with what labels are
+   left, every promising pair, compared where the block is so that no pairs are sent on.  So no bucket is capped, and no proposed pair that could join two components goes unseen.
 
 Recall: rows per band are the most for which a pair just at the threshold is missed by
 all bands with probability below ``MISS``.
@@ -33,13 +34,16 @@ from pyspark.sql import functions as F
 
 from .blocks import blocks, mix64, windows
 from .scratch import materialize, shared_dir
+from .sift import rows_of
 
 BANDS = 32
 MISS = 1e-5
 LOW_BITS = 2
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 5.0
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
+#: Bucket heads that each document is first compared with, the smallest ids.
+HOOKS = 2
 SALTS = 32
 
 
@@ -182,32 +186,96 @@ def _estimator(num: int, den: int):
     return run
 
 
-def _block_pairs(num: int, den: int):
-    """Groups of (minor, id, label, n, sig) -> pairs of minor rows and rows of other labels that may reach the threshold."""
+def _groups(batches) -> Iterator[pa.Table]:
+    """The rows of each group ``g``, from batches sorted by it; groups are blocks of bounded size."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column("g").to_numpy()
+        cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(g)], strict=True):
+            if held and held[-1].column("g")[0].as_py() != g[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _promising(t: pa.Table, num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(minor row, rows of other labels that may reach the threshold, estimates) of a block."""
+    hashes, floor = BANDS * rows_per_band(num, den), estimate_floor(num, den)
+    minor, labels, n = (t.column(c).to_numpy() for c in ("minor", "label", "size"))
+    left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+    if len(left) and len(right):
+        sigs = _planes(t.column("sig").to_pylist(), hashes)
+        for x in left:
+            y = right[(labels[right] != labels[x]) & _sizes_fit(n[x], n[right], num, den)]
+            guess = estimate(agreeing(sigs[x], sigs[y]), hashes)
+            ok = guess >= floor
+            if ok.any():
+                yield x, y[ok], guess[ok]
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a = np.array([max(p) for p in pairs], np.int64)
+    b = np.array([min(p) for p in pairs], np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _best_pairs(num: int, den: int):
+    """Blocks -> the most promising pair of each minor row."""
 
     def run(batches):
-        hashes, floor = BANDS * rows_per_band(num, den), estimate_floor(num, den)
-        for t in batches:
-            out_a, out_b = [], []
-            col = t.column("rows")
-            flat, off = col.flatten(), col.offsets.to_numpy() - col.offsets[0].as_py()
-            minor, ids, labels, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            sigs = _planes(flat.field(4).to_pylist(), hashes) if len(flat) else None
-            for g in range(t.num_rows):
-                r = np.arange(off[g], off[g + 1])
-                left, right = r[minor[r]], r[~minor[r]]
-                for lo in range(0, len(left), 64):
-                    x = left[lo : lo + 64]
-                    ok = labels[x][:, None] != labels[right][None, :]
-                    ok &= _sizes_fit(n[x][:, None], n[right][None, :], num, den)
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        keep = estimate(agreeing(sigs[x[i]], sigs[right[j]]), hashes) >= floor
-                        out_a.append(ids[x[i[keep]]])
-                        out_b.append(ids[right[j[keep]]])
-            a = np.concatenate([*out_a, np.zeros(0, np.int64)])
-            b = np.concatenate([*out_b, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        for t in _groups(batches):
+            ids = t.column("id").to_numpy()
+            pairs = []
+            for x, y, guess in _promising(t, num, den):
+                pairs.append((int(ids[x]), int(ids[y[np.lexsort((ids[y], -guess))[0]]])))
+            yield _pair_batch(pairs)
+
+    return run
+
+
+def _flags(num: int, den: int):
+    """Blocks -> their numbers, of those with a promising pair."""
+
+    def run(batches):
+        for t in _groups(batches):
+            if any(True for _ in _promising(t, num, den)):
+                yield pa.RecordBatch.from_arrays([pa.array([t.column("g")[0].as_py()], pa.int64())], ["g"])
+
+    return run
+
+
+def _block_links(k: int, num: int, den: int):
+    """Blocks with texts -> links, at most one for two labels already joined within the block; each pair in the first bucket it shares."""
+
+    def run(batches):
+        for t in _groups(batches):
+            ids, labels, key = (t.column(c).to_numpy() for c in ("id", "label", "key"))
+            bands = np.array(t.column("bands").to_pylist(), np.int64)
+            sets = list(shingle_sets(t.column("text").combine_chunks(), k))
+            root: dict[int, int] = {}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            links = []
+            for x, y, guess in _promising(t, num, den):
+                band = int(np.flatnonzero(bands[x] == key[x])[0])
+                for z in y[np.argsort(-guess, kind="stable")]:
+                    one, other = find(int(labels[x])), find(int(labels[z]))
+                    if one == other or (bands[x, :band] == bands[z, :band]).any():
+                        continue
+                    both = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+                    if both > 0 and both * den >= num * (len(sets[x]) + len(sets[z]) - both):
+                        root[max(one, other)] = min(one, other)
+                        links.append((int(ids[x]), int(ids[z])))
+            yield _pair_batch(links)
 
     return run
 
@@ -266,12 +334,42 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     """Links among candidate pairs (a, b), confirmed on full sets."""
     pairs = materialize(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi"), "texts")
+    texts = materialize(rows_of(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), "id", ids), "texts")
     full = _attach(pairs, "b", texts, {"text": "tb"}, "a")
     full = full.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return materialize(full.mapInArrow(_verifier(k, num, den), "a long, b long").distinct(), "links")
 
 
+def _blocks(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Buckets with several labels as blocks ``g``: some of the rows outside the commonest label (minor) against some of all rows."""
+    labelled = members.filter("n > 2").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    labelled = labelled.join(mixed, "key", "left_semi")
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("key").agg(F.max(F.struct("c", F.col("label").alias("main"))).alias("m"), F.sum("c").alias("n")).select("key", "n", F.col("m.main").alias("main"), (F.col("n") - F.col("m.c")).alias("minor_n"))
+    cells = labelled.join(main, "key").withColumn("l", F.ceil(F.col("minor_n") / BLOCK_ROWS).cast("int")).withColumn("r", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    cells = cells.join(reps.select("id", F.col("n").alias("size"), "sig", "bands"), "id")
+    place = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    row = ["key", "id", "label", "size", "sig", "bands"]
+    left = cells.filter("label <> main").select(*row, F.lit(True).alias("minor"), place("l").alias("i"), F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("j"))
+    right = cells.select(*row, F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("l") - 1)).alias("i"), place("r").alias("j"))
+    return left.unionByName(right).withColumn("g", F.xxhash64("key", "i", "j")).drop("i", "j")
+
+
+def _by_block(rows: DataFrame, f, kind: str) -> DataFrame:
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(f, kind)
+
+
+def _late_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between different labels within buckets, among all pairs that may reach the threshold: blocks with such pairs get the texts and compare them there."""
+    rows = materialize(_blocks(members, labels, reps), "blocks")
+    flagged = materialize(_by_block(rows.drop("bands"), _flags(num, den), "g long").distinct(), "flagged")
+    rows = rows.join(flagged, "g", "left_semi")
+    texts = rows_of(docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").cast("string").alias("text")), "t_id", rows.select("id").distinct())
+    full = rows.join(materialize(texts, "late_texts"), F.col("id") == F.col("t_id")).drop("t_id")
+    return materialize(_by_block(full, _block_links(k, num, den), "a long, b long").distinct(), "late")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; links at ``den * shared >= num * union``."""
     spark: SparkSession = docs.sparkSession
@@ -290,27 +388,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     buckets = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(rows.join(buckets, "key"), "members")
 
-    star = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    few = F.explode(F.slice(F.array_sort(F.collect_set("rep")), 1, HOOKS)).alias("b")
+    star = members.filter("id <> rep").groupBy(F.col("id").alias("a")).agg(few)
     star = _attach(star, "b", sigs, {"sig": "sb", "n": "nb"}, "a")
     star = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
-    links = _verify(star.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimator(num, den), "a long, b long"), docs, shingle, num, den)
+    tried = materialize(star.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimator(num, den), "a long, b long"), "tried")
+    links = _verify(tried, docs, shingle, num, den)
     labels = materialize(components(links), "labels")
-
-    labelled = members.filter("n > 2").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("key", "n")
-    counts = labelled.join(mixed, "key", "left_semi").groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", F.col("label").alias("main"))).alias("m"), F.sum("c").alias("n")).select("key", "n", F.col("m.main").alias("main"), (F.col("n") - F.col("m.c")).alias("minor_n"))
-    cells = labelled.join(main, "key").withColumn("l", F.ceil(F.col("minor_n") / BLOCK_ROWS).cast("int")).withColumn("r", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
-    cells = cells.join(sigs.select("id", F.col("n").alias("size"), "sig"), "id")
-    row = lambda minor: F.struct(F.lit(minor).alias("minor"), "id", "label", F.col("size").alias("n"), "sig").alias("row")
-    place = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    left = cells.filter("label <> main").select("key", place("l").alias("i"), F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("j"), row(True))
-    right = cells.select("key", F.explode(F.sequence(F.lit(0), F.col("l") - 1)).alias("i"), place("r").alias("j"), row(False))
-    groups = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list("row").alias("rows")).select("rows")
-    more = materialize(groups.mapInArrow(_block_pairs(num, den), "a long, b long").distinct(), "more")
-    more = materialize(more.join(materialize(star.select("a", "b"), "tried"), ["a", "b"], "left_anti"), "untried")
-    if not more.isEmpty():
-        found = _verify(more, docs, shingle, num, den)
+    best = _by_block(_blocks(members, labels, reps).drop("bands", "key"), _best_pairs(num, den), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    for found in (_verify(best, docs, shingle, num, den), None):
+        found = _late_links(members, labels, reps, docs, shingle, num, den) if found is None else found
         if not found.isEmpty():
             stars = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
             labels = materialize(components(stars.unionByName(found)), "labels")
