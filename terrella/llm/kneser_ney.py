@@ -59,6 +59,11 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
+def word_parts(parts: int) -> int:
+    """Words are few beside n-grams, and every reducer sends to each of their parts: so those are fewer."""
+    return max(8, parts // 16)
+
+
 def place(ctx: np.ndarray, first: np.ndarray, last: np.ndarray, hot: np.ndarray, parts: int, level: int) -> np.ndarray:
     """Where an n-gram is counted and looked up."""
     p = part_of(ctx, parts)
@@ -153,7 +158,7 @@ def _counter(order: int, parts: int, hot: np.ndarray):
             part = place(chain(cols[:-1]), cols[0], cols[-1], hot, parts, m)
             yield _batch(list(_rows(m, cols, counts, part)))
         words, counts = np.unique(tokens, return_counts=True)
-        yield _batch(list(_rows(0, [words], counts.astype(np.int64), part_of(words, parts))))
+        yield _batch(list(_rows(0, [words], counts.astype(np.int64), part_of(words, word_parts(parts)))))
 
     def run(batches):
         held, n = [], 0
@@ -210,7 +215,7 @@ def _reducer(level: int, parts: int, hot: np.ndarray, folder: str):
             arrays = [key[o], large.astype(np.int64), counts[o][large], ctx[new][whole][by], stats[0][whole][by], *(s[whole][by].astype(np.uint32) for s in stats[1:]), small]
             suffix = cols[1:]
             suffix, n1 = combine(suffix, np.ones(len(counts), np.int64))
-            target = part_of(suffix[0], parts) if level == 2 else place(chain(suffix[:-1]), suffix[0], suffix[-1], hot, parts, level - 1)
+            target = part_of(suffix[0], word_parts(parts)) if level == 2 else place(chain(suffix[:-1]), suffix[0], suffix[-1], hot, parts, level - 1)
             starts = suffix[0] == BEGIN  # these keep plain counts, which the texts gave
             out += list(_rows(level - 1, [c[~starts] for c in suffix], n1[~starts], target[~starts]))
         elif level == 1:
@@ -282,7 +287,7 @@ def _by_part(part: np.ndarray, keys: np.ndarray):
 def word_counts(model: Model, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Plain and continuation counts of words."""
     plain, cont = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    for p, rows in _by_part(part_of(words, model.parts), words):
+    for p, rows in _by_part(part_of(words, word_parts(model.parts)), words):
         if about := model.files.get((1, p)):
             table, a, b = arrays_of(about)
             at, ok = _find(table, words[rows])
