@@ -30,7 +30,12 @@ from .scratch import materialize
 
 CAPACITY, END_ID = 1024, 2
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+
+
+def _loose(part: str) -> bool:
+    """Whether white space stands beside the space where a text was cut."""
+    return not part or part[0].isspace() or part[-1].isspace()
 
 
 class Encoder:
@@ -38,8 +43,9 @@ class Encoder:
 
     A text is cut before each single space between two characters that are not white space; the
     tokenizer's pattern always begins a new pretoken there, so the parts' ids joined are the text's ids.
-    Parts are looked up in a memory of bounded size and the missing ones encoded together.
-    Texts with other white space at a cut, or with a special token's string, are encoded whole.
+    Parts are looked up in a memory of bounded size.  Missing ones are encoded together as one text,
+    which is cut again by the tokens' lengths in bytes.  Texts with other white space around a
+    space, or with a special token's string, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -47,40 +53,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():  # one character of a token's name stands for one byte
+            self.size[i] = len(token)
+        self.memory: dict[str, bytes | None] = {}  # ids of a part with a space before it; none for a loose part
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
-    def _parts(self, text: str) -> list[str] | None:
-        if not text or any(s in text for s in self.special):
-            return None
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return None
-        return parts
+    def _learn(self, words: list[str]) -> None:
+        self.memory.update((w, None) for w in words if _loose(w))
+        words = [w for w in words if not _loose(w)]
+        for lo in range(0, len(words), 4096):
+            some = words[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([1 + len(w.encode()) for w in some])
+            cuts = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+            raw, at = ids.tobytes(), 0
+            for w, c in zip(some, (4 * cuts).tolist(), strict=True):
+                self.memory[w] = raw[at:c]
+                at = c
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        known, parts = self.memory, [self._parts(t) for t in texts]
-        whole = [i for i, p in enumerate(parts) if p is None]
-        missing: set[str] = set()
-        for p in parts:
-            if p is not None:
-                if p[0] not in known:  # as the first part it has no space before it
-                    missing.add(p[0])
-                p[1:] = [" " + x for x in p[1:]]
-                missing.update(x for x in p if x not in known)
+        parts: list[list[str]] = []
+        whole: list[int] = []
+        seen: set[str] = set()
+        for i, t in enumerate(texts):
+            p = t.split(" ")
+            parts.append(p)
+            if _loose(p[0]) or any(s in t for s in self.special):
+                whole.append(i)
+            else:
+                seen.update(p)
+        missing = list(seen.difference(self.memory))
         if missing:
-            new = list(missing)
-            known.update(zip(new, self._bytes(new), strict=True))
-        out = [b"".join(map(known.__getitem__, p)) if p is not None else b"" for p in parts]
-        for i, b in zip(whole, self._bytes([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = b
-        return out
+            self._learn(missing)
+        known, skip = self.memory.__getitem__, set(whole)
+        tails: list[bytes | None] = []
+        for i, p in enumerate(parts):
+            try:
+                tails.append(None if i in skip else b"".join(map(known, p[1:])))
+            except TypeError:  # a loose part
+                tails.append(None)
+        heads = self._bytes([t if tail is None else p[0] for t, p, tail in zip(texts, parts, tails, strict=True)])
+        return [h + (tail or b"") for h, tail in zip(heads, tails, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
