@@ -185,5 +185,5 @@ def shard_documents(docs: DataFrame, leaves: int | None = None, target_bytes: in
         total = rows.agg(F.sum("w")).first()[0] or 0
         leaves = max(1, -(-total // max(1, target_bytes or 1)))
     placed = materialize(partition(rows, leaves).select("doc_id", "size", "text_crc32", "h", "shard"), "shards")
-    out = gapless(placed, "shard", F.col("h"), ["h", "doc_id"], "slot")
+    out = gapless(placed, "shard", F.struct("doc_id", "h"), ["doc_id", "h"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
