@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .blocks import Block, blocks, per_text
 from .quality import bucket_of
 
-PER_LANG = 1000
+PER_LANG = 400
 MAX_LANGS = 256
 #: Longer texts are not taken into the training sample, so that its size is bounded.
 TRAIN_CHARS = 32_000
@@ -125,12 +125,21 @@ def _sums(v: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c[at[1:]] - c[at[:-1]]
 
 
-def _logs(h: np.ndarray, lang: np.ndarray, n_langs: int, smooth: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, and the smoothed log share of each language's total."""
+def _counted(h: np.ndarray, lang: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a block and how often each language has them."""
     uniq, inverse = np.unique(h, return_inverse=True)
-    count = np.bincount(inverse * n_langs + lang, minlength=len(uniq) * n_langs).reshape(len(uniq), n_langs).astype(float)
+    return uniq, np.bincount(inverse * n_langs + lang, minlength=len(uniq) * n_langs).reshape(len(uniq), n_langs).astype(np.int32)
+
+
+def _logs(parts: list[tuple[np.ndarray, np.ndarray]], smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of all blocks, and the smoothed log share of each language's total."""
+    h, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    count = np.add.reduceat(counts[order], at, axis=0).astype(float) if len(h) else counts.astype(float)
     total = count.sum(axis=0)
-    return uniq, np.log((count + smooth) / (total + smooth * (len(uniq) + 1)))
+    return h[at], np.log((count + smooth) / (total + smooth * (len(at) + 1)))
 
 
 def fit(docs: DataFrame, allowed: Column | None = None) -> Languages | None:
@@ -146,21 +155,19 @@ def fit(docs: DataFrame, allowed: Column | None = None) -> Languages | None:
         return None
     number = {n: i for i, n in enumerate(names)}
     lang = np.array([number[x] for x in got.column("lang").to_pylist()])
-    wh, wl, gh, gl = [], [], [[] for _ in range(NGRAM)], [[] for _ in range(NGRAM)]
+    word_parts, gram_parts = [], [[] for _ in range(NGRAM)]
     row = 0
-    for b in blocks(_lower_upper_latin(got.column("text").combine_chunks())):
+    for b in blocks(_lower_upper_latin(got.column("text").combine_chunks()), limit=1 << 18):  # counted block by block: memory follows the tables
         s, e, at = b.words
         of = np.repeat(lang[row : row + b.n], np.diff(at))
         row += b.n
-        wh.append(b.span_hash(s, e))
-        wl.append(of)
+        word_parts.append(_counted(b.span_hash(s, e), of, len(names)))
         for n in range(1, NGRAM + 1):
             g, word = grams(b, s, e, n)
             ok = g != 0
-            gh[n - 1].append(g[ok])
-            gl[n - 1].append(of[word[ok]])
-    words, word_logs = _logs(np.concatenate(wh), np.concatenate(wl), len(names), WORD_SMOOTH)
-    tables = [_logs(np.concatenate(h), np.concatenate(x), len(names), GRAM_SMOOTH) for h, x in zip(gh, gl, strict=True)]
+            gram_parts[n - 1].append(_counted(g[ok], of[word[ok]], len(names)))
+    words, word_logs = _logs(word_parts, WORD_SMOOTH)
+    tables = [_logs(p, GRAM_SMOOTH) for p in gram_parts]
     return Languages(names, words, word_logs, [t[0] for t in tables], [t[1] for t in tables])
 
 
