@@ -41,7 +41,7 @@ MISS = 1e-5
 LOW_BITS = 2
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 5.0
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 #: Bucket heads that each document is first compared with, the smallest ids.
 HOOKS = 2
 SALTS = 32
