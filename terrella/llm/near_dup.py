@@ -5,7 +5,8 @@
    retains only the low bits of the minima.
 2. Texts with equal sets form a class; everything after works on one document of each class.
 3. A band bucket proposes pairs.  Each document is first paired with the ``HOOKS`` smallest
-   of its buckets' smallest ids: linear in documents, however large a bucket is.
+   of its buckets' smallest ids, and the two of every bucket of two with each other: linear
+   in documents, however large a bucket is.
 4. Pairs pass if the similarity estimated from signature bits, corrected for chance
    collisions, is not far below the threshold; then both full sets are compared.
 5. Components of the links found so far label each document.  A bucket whose members all
@@ -341,7 +342,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
 
 
 def _blocks(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Buckets with several labels as blocks ``g``: some of the rows outside the commonest label (minor) against some of all rows."""
+    """Buckets of three or more with several labels as blocks ``g``: some of the rows outside the commonest label (minor) against some of all rows."""
     labelled = members.filter("n > 2").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     labelled = labelled.join(mixed, "key", "left_semi")
@@ -388,7 +389,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     buckets = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(rows.join(buckets, "key"), "members")
 
-    few = F.explode(F.slice(F.array_sort(F.collect_set("rep")), 1, HOOKS)).alias("b")
+    # no later step sees a bucket of two, so its pair is always compared here
+    few = F.explode(F.array_union(F.slice(F.array_sort(F.collect_set("rep")), 1, HOOKS), F.collect_set(F.when(F.col("n") == 2, F.col("rep"))))).alias("b")
     star = members.filter("id <> rep").groupBy(F.col("id").alias("a")).agg(few)
     star = _attach(star, "b", sigs, {"sig": "sb", "n": "nb"}, "a")
     star = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")

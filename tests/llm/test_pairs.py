@@ -82,6 +82,23 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert {r.doc_id: r.component_id for r in got} == {d: c for d, (_, c) in want.items()}
 
 
+@pytest.mark.parametrize("seed", [11, 22, 24])
+def test_near_copies_are_found_behind_shared_boilerplate_of_smaller_ids(spark, seed):
+    """The last document shares a bucket with each of two smaller ids that are only partly alike; all buckets with its near copy hold just the two."""
+    rng = np.random.default_rng(seed)
+    a, b = ([f"{n}{seed}_{i}" for i in range(100)] for n in "ab")
+    x = a + b + [f"x{seed}_{i}" for i in range(10)]
+    copy = list(x)
+    for j in range(4):
+        copy[int(rng.integers(0, len(copy)))] = f"n{seed}_{j}"
+    texts = [a + [f"p{seed}_{i}" for i in range(10)], b + [f"q{seed}_{i}" for i in range(10)], copy, x]
+    rows = [(n, " ".join(w), None, None, None) for n, w in enumerate(texts)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 5, 80, 100).collect()
+    want = brute([(r[0], r[1]) for r in rows], 5, 80, 100)
+    assert {r.doc_id: r.component_id for r in got} == {d: c for d, (_, c) in want.items()}
+    assert want[3][1] == 2
+
+
 def test_estimates_follow_similarity():
     h = near_dup.Hasher(near_dup.BANDS, 7)
     rng = np.random.default_rng(1)
