@@ -1,18 +1,23 @@
-"""Substring deduplication by content-defined chunking.
-
-A gear hash rolls over the bytes; a chunk ends where the hash's top bits are zero, so bounds
-depend on the last ``WINDOW`` bytes alone and an insertion shifts no bounds but those near it.
-Chunks are compared by digest.  Each digest's owner is its first place in (doc_id, position)
-order.  A document's chunks with owners in the same other document and at the same
-distance are evidence of a shared passage; there both whole texts are compared along that
-distance, and every maximal equal stretch of at least ``min_words`` whole words is a repeat.
-
-So a repeat is exact and never chance agreement of short chunks, and the first place of a
-passage stays.  Hot digests are combined to one owner before the shuffle; the join back
+"""Substring deduplication by content-defined selection of word windows.
+
+1. Of each text's windows of ``GRAM`` of a passage's words, those with the least hash among the windows of one
+   passage are kept (winnowing).  What is kept depends on the passage alone, so two texts with a passage
+   of ``min_words`` whole words in common keep a window of it in common, however they differ elsewhere.
+2. Every window of ``min_words`` words whose least hash another document kept too is written out with the
+   digest of all its bytes.  Each digest's owner is its first place in (doc_id, position) order.  So a
+   passage's owner has the whole of it, wherever its parts were seen first.
+3. Documents are compared with their windows' owners: both whole texts along the windows' distance,
+   and every maximal equal stretch of at least ``min_words`` whole words is a repeat.  A distance whose windows
+   all lie in stretches already found with that owner adds nothing and is left out.
+
+So a repeat is exact and never chance agreement of digests, every window that an earlier document has lies in a repeat, and the
+first place of a passage stays.  Hot digests are combined to one owner before the shuffle; the join back
 splits the other side.
 
-Defined results: null and empty texts have no chunks; rows with a null doc_id are neither owners nor repeats; repeated
-rows of one doc_id are no repeats of each other; repeats inside one document are left alone.
+Defined results: null and empty texts have no windows; rows with a null doc_id are neither owners nor repeats; repeated
+rows of one doc_id are no repeats of each other; repeats inside one document are left alone.  Passages are whole words of both
+texts; a stretch may begin or end inside a longer word of the owner, but one that is long enough only with such words is
+found only where its owner is also that of a kept window.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ WINDOW, MASK_BITS = 32, 5
 #: No second bound within so few bytes; a bound at least every so many.
 MIN_GAP, MAX_CHUNK = 8, 256
 MIN_WORDS = 50
-#: Words in chunks of one owner and distance that make texts worth comparing; far fewer than a repeat needs.
-EVIDENCE_WORDS = 10
+#: The share of a passage's words in the windows that are kept of it.
+GRAM = 0.5
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -64,24 +69,69 @@ def cuts(b: Block) -> np.ndarray:
     return ends
 
 
-def _chunker(batches):
-    for batch in batches:
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for b in blocks(batch.column("text")):
-            ends = cuts(b)
-            starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-            doc = np.searchsorted(b.offsets, starts, "right") - 1
-            words = np.searchsorted(b.words[0], ends) - np.searchsorted(b.words[0], starts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[b.row + doc].astype(np.int64)), pa.array((starts - b.offsets[doc]).astype(np.int32)), pa.array(words.astype(np.int16)), pa.array(b.span_hash(starts, ends).view(np.int64))],
-                ["doc_id", "start", "words", "digest"],
-            )
+def _sliding(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """``f`` over each ``n`` values in a row."""
+    done, out = 1, x
+    while done < n:
+        step = min(done, n - done)
+        out = f(out[:-step], out[step:])
+        done += step
+    return out
+
+
+def _grams(b: Block, i: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int] | None:
+    """Starts and ends of the words of a block's i-th text, the hashes of its short windows and their words; none for a text shorter than a passage."""
+    starts, ends, at = b.words
+    s, e = starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]]
+    if len(s) < min_words:
+        return None
+    k = max(1, int(min_words * GRAM))
+    return s, e, b.span_hash(s[: len(s) - k + 1], e[k - 1 :]), k
+
+
+def _winnower(min_words: int):
+    """Rows (doc_id, text) -> the first place of each short window that a text keeps."""
+
+    def run(batches):
+        for batch in batches:
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for b in blocks(batch.column("text")):
+                out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64))]
+                for i in range(b.n):
+                    if (found := _grams(b, i, min_words)) is None:
+                        continue
+                    s, _, h, k = found
+                    w = max(1, min_words - k - 1)  # two words less: those at a passage's ends may be parts of words elsewhere
+                    least = _sliding(np.minimum, h, w)
+                    wide = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
+                    kept = np.flatnonzero(h == _sliding(np.maximum, wide, w))
+                    digest, first = np.unique(h[kept], return_index=True)
+                    out.append((np.full(len(digest), docs[b.row + i], np.int64), (s[kept[first]] - b.offsets[i]).astype(np.int32), digest))
+                doc, start, digest = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(digest.view(np.int64))], ["doc_id", "start", "digest"])
+
+    return run
+
 
+def _writer(min_words: int):
+    """Rows (id, text, shared) -> place, bytes and digest of each passage-long window whose least short window is shared."""
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start (byte), words and digest of every chunk."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(_chunker, "doc_id long, start int, words short, digest long")
+    def run(batches):
+        for batch in batches:
+            docs, shared = batch.column("id").to_numpy(), batch.column("shared")
+            for b in blocks(batch.column("text")):
+                out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+                for i in range(b.n):
+                    if (found := _grams(b, i, min_words)) is None:
+                        continue
+                    s, e, h, k = found
+                    known = shared[b.row + i].values.to_numpy().view(np.uint64)
+                    p = np.flatnonzero(np.isin(_sliding(np.minimum, h, min_words - k + 1), known))
+                    s, e = s[p], e[p + min_words - 1]
+                    out.append((np.full(len(p), docs[b.row + i], np.int64), (s - b.offsets[i]).astype(np.int32), (e - s).astype(np.int32), b.span_hash(s, e).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc_id", "start", "size", "digest"])
+
+    return run
 
 
 def equal_stretches(a: bytes, b: bytes, distance: int, min_words: int) -> list[tuple[int, int, int]]:
@@ -111,31 +161,47 @@ def equal_stretches(a: bytes, b: bytes, distance: int, min_words: int) -> list[t
 
 
 def _comparer(min_words: int):
+    """Rows (doc_id, owner_id, hits, ta, tb) -> repeats; hits are the first start, last end and distance of windows."""
+
     def run(batches):
         for t in batches:
             rows = []
-            cols = [t.column(c).to_pylist() for c in ("doc_id", "owner_id", "distance", "ta", "tb")]
-            for doc, owner, distance, a, b in zip(*cols, strict=True):
-                rows += [(doc, owner, s, e, s - distance, w) for s, e, w in equal_stretches(a.encode(), b.encode(), distance, min_words)]
+            cols = [t.column(c).to_pylist() for c in ("doc_id", "owner_id", "hits", "ta", "tb")]
+            for doc, owner, hits, ta, tb in zip(*cols, strict=True):
+                a, b, found = ta.encode(), tb.encode(), []
+                for hit in sorted(hits, key=lambda x: (x["start"], -x["end"], x["distance"])):
+                    if not any(s <= hit["start"] and hit["end"] <= e for s, e in found):
+                        for s, e, w in equal_stretches(a, b, hit["distance"], min_words):
+                            found.append((s, e))
+                            rows.append((doc, owner, s, e, s - hit["distance"], w))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "owner_id", "start", "end", "owner_start", "n_words"])
 
     return run
 
 
+def _owned(rows: DataFrame) -> DataFrame:
+    """The owner's place of each digest that several documents have."""
+    first = F.min(F.struct("doc_id", "start")).alias("o")
+    return rows.groupBy("digest").agg(first, F.max("doc_id").alias("last")).filter("last > o.doc_id").select("digest", F.col("o.doc_id").alias("owner_id"), F.col("o.start").alias("owner_start"))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, owner_id, start, end, owner_start (bytes), n_words of passages that an earlier document (by doc_id) has too."""
-    rows = materialize(chunks(docs), "chunks")
-    first = F.min(F.struct("doc_id", "start")).alias("o")
-    shared = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("digest", F.col("o.doc_id").alias("owner_id"), F.col("o.start").alias("owner_start"))
-    hits = rows.join(shared, "digest").filter("doc_id > owner_id").withColumn("distance", F.col("start") - F.col("owner_start"))
-    evidence = hits.groupBy("doc_id", "owner_id", "distance").agg(F.sum("words").alias("w")).filter(F.col("w") >= min(EVIDENCE_WORDS, min_words))
-    pairs = materialize(evidence.select("doc_id", "owner_id", "distance"), "evidence")
-    ids = pairs.select(F.col("doc_id").alias("id")).union(pairs.select("owner_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    texts = materialize(rows_of(texts, "id", ids), "passages")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    kept = materialize(named.mapInArrow(_winnower(min_words), "doc_id long, start int, digest long"), "kept")
+    shared = materialize(kept.join(_owned(kept), "digest"), "shared")
+    marks = shared.groupBy("doc_id").agg(F.collect_set("digest").alias("shared"))
+    texts = named.withColumnRenamed("doc_id", "id")
+    texts = materialize(rows_of(texts, "id", marks.select(F.col("doc_id").alias("id"))), "passages")
+    full = texts.join(marks, texts["id"] == marks["doc_id"]).select("id", "text", "shared")
+    rows = materialize(full.mapInArrow(_writer(min_words), "doc_id long, start int, size int, digest long"), "windows")
+    hits = rows.join(_owned(rows), "digest").select("doc_id", "start", "size", "owner_id", "owner_start")
+    hits = hits.unionByName(shared.select("doc_id", "start", F.lit(1).alias("size"), "owner_id", "owner_start")).filter("doc_id > owner_id")
+    hits = hits.groupBy("doc_id", "owner_id", (F.col("start") - F.col("owner_start")).alias("distance")).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
+    pairs = materialize(hits.groupBy("doc_id", "owner_id").agg(F.collect_list(F.struct("start", "end", "distance")).alias("hits")), "evidence")
     full = _attach(pairs, "owner_id", texts, {"text": "tb"}, "doc_id")
-    full = full.join(texts.select(F.col("id").alias("doc_id"), F.col("text").alias("ta")), "doc_id").select("doc_id", "owner_id", "distance", "ta", "tb")
+    full = full.join(texts.select(F.col("id").alias("doc_id"), F.col("text").alias("ta")), "doc_id").select("doc_id", "owner_id", "hits", "ta", "tb")
     kind = "doc_id long, owner_id long, start long, end long, owner_start long, n_words long"
     return full.mapInArrow(_comparer(min_words), kind).distinct()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -165,6 +166,42 @@ def test_removal_leaves_first_places_and_clean_documents(spark):
     assert out.columns == odd(spark).columns and out.count() == 17
 
 
+def test_a_passage_is_found_whose_parts_were_first_seen_in_other_documents(spark):
+    """Halves of a passage in two documents, or in one at two distances; the whole passage only in later ones."""
+    filler = lambda n: " ".join(f"f{n}_{i}" for i in range(40))
+    rows = []
+    for at, apart in ((0, True), (100, False)):
+        one, two = (" ".join(f"{h}{at}_{i}" for i in range(30)) for h in "ab")
+        early = [f"{filler(at)} {one} {filler(at + 1)}", f"{filler(at + 2)} {two}"] if apart else [f"{two} {filler(at)} {one}"]
+        for n, text in enumerate([*early, f"{filler(at + 3)} {one} {two} {filler(at + 4)}", f"{one} {two} {filler(at + 5)}", f"{filler(at + 6)}\n{one} {two}"]):
+            rows.append((at + n, text, "en", "s", 5))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.doc_id, r.owner_id, r.n_words) for r in substring.repeats(docs, 50).collect()}
+    assert got == {(3, 2, 60), (4, 2, 60), (102, 101, 60), (103, 101, 60)}
+    left = {r.doc_id: r.text for r in substring.remove_repeats(docs).collect()}
+    assert all(f"{h}{at}_10" not in left[d] for at, ids in ((0, (3, 4)), (100, (102, 103))) for d in ids for h in "ab")
+
+
+def test_every_window_of_an_earlier_document_lies_in_a_repeat(spark):
+    rng = np.random.default_rng(5)
+    parts = [[f"{n}_{i}" for i in range(rng.integers(5, 40))] for n in range(12)]
+    rows = [(d, " ".join(w for n in rng.integers(0, 12, 20) for w in parts[n]), None, None, None) for d in range(40)]
+    rows.append((40, "long " * 3000 + "end", None, None, None))
+    rows.append((41, "long " * 2000 + "end", None, None, None))
+    spans = {}
+    for r in substring.repeats(spark.createDataFrame(rows, SCHEMA), 50).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+    seen, missed, found = {}, 0, 0
+    for d, t, *_ in rows:
+        at = [m.span() for m in re.finditer(r"\S+", t)]
+        for i in range(len(at) - 49):
+            s, e = at[i][0], at[i + 49][1]
+            if seen.setdefault(t[s:e], d) != d:
+                found += 1
+                missed += not any(x <= s and e <= y for x, y in spans.get(d, []))
+    assert found > 100 and missed == 0
+
+
 def test_chunk_bounds_resist_insertions():
     text = (BASE * 8).encode()
     ends = lambda t: set(substring.cuts(next(iter(blocks(pa.array([t.decode()])))))) if t else set()
