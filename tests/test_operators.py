@@ -247,3 +247,19 @@ def test_requests_are_rendered_once(spark, sf, tmp_path):
         ask(xs)
         requests.serve(spark, str(tmp_path / "in"), chunks, store, str(tmp_path / "cp")).awaitTermination()
     assert rows(spark.read.parquet(store), "x", "y") == [(2048, 2048), (2049, 2048)]
+
+
+def test_every_cell_of_the_grid_is_rendered(spark, sf):
+    from terrella.plans import assembly, registry
+    from terrella.plans.proxies import Proxies
+
+    want = set()
+    for row, col in rows(Proxies(spark, sf).cell, "row", "col"):
+        for r in (row + 0.0001, row + 0.5, row + 0.9999):  # rows count down from the equator, columns up from the meridian
+            for c in (col + 0.0001, col + 0.5, col + 0.9999):
+                lat = math.radians(-0.01 * r)
+                want.add((int((0.01 * c + 180) / 360 * 4096), int((1 - math.log(math.tan(lat) + 1 / math.cos(lat)) / math.pi) / 2 * 4096)))
+    assert set(rows(assembly.tiles(Proxies(spark, sf)), "x", "y")) == want
+    for name in ("render_tiles", "render_biome_tiles"):
+        got = rows(registry.QUERIES[name](spark, sf), "x", "y")
+        assert len(got) == len(want) and set(got) == want
