@@ -411,11 +411,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _own_ids(docs: DataFrame) -> DataFrame:
+    """The documents with ``_own``: the doc_id, but for further texts of one doc_id a number of their own, above usual ids."""
+    named, text = docs["doc_id"].cast("long"), F.xxhash64(F.col("text"))
+    many = docs.select(named.alias("_id"), text.alias("_h")).filter("_id is not null").groupBy("_id").agg(F.min("_h").alias("_least"), F.max("_h").alias("_most"))
+    many = materialize(many.filter("_least <> _most").select("_id", "_least"), "many")
+    further = F.xxhash64(named, F.col("text")).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    own = F.when(F.col("_least").isNull() | (text == F.col("_least")), named).otherwise(further)
+    return docs.join(many, named == F.col("_id"), "left").withColumn("_own", own).drop("_id", "_least")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents, one of each near-duplicate group; repeated rows of a kept doc_id count as one."""
+    """The documents, one of each near-duplicate group; repeated rows of a kept doc_id and text count as one, other texts of a doc_id stand for themselves."""
     from pyspark.sql import Window
 
-    gone = near_duplicates(docs, shingle, num, den).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1 or doc_id is null").drop("_nth")
+    own = _own_ids(docs)
+    gone = near_duplicates(own.select(F.col("_own").alias("doc_id"), "text"), shingle, num, den).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = own.join(gone, F.col("_own") == F.col("_gone"), "left_anti")
+    w = Window.partitionBy("_own").orderBy(F.xxhash64("text"))
+    return left.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1 or _own is null").drop("_nth", "_own")

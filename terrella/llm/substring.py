@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SPACE, Block, blocks, mix64
-from .near_dup import _attach
+from .near_dup import _attach, _own_ids
 from .scratch import materialize
 from .sift import rows_of
 
@@ -220,13 +220,14 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``n_chars``, where there is one, follows the text.
     """
-    spans = repeats(docs, min_words).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))  # of one document
+    own = _own_ids(docs)  # places of one text are none of another with its doc_id
+    spans = repeats(own.select(F.col("_own").alias("doc_id"), "text"), min_words).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))  # of one document
 
     @F.arrow_udf("string")
     def cut(t: pa.Array, s: pa.Array) -> pa.Array:
         return pa.array([x if x is None or not y else _cut_out(x, y) for x, y in zip(t.to_pylist(), s.to_pylist(), strict=True)], pa.string())
 
-    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("_doc"), "left")
+    joined = own.join(spans, F.col("_own") == F.col("_doc"), "left")
     touched = F.col("_spans").isNotNull()
     out = joined.withColumn("_new", F.when(touched, cut(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
     keep = []

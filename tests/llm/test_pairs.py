@@ -69,6 +69,13 @@ def test_dropping_near_duplicates_keeps_columns_and_one_of_each_group(spark):
     assert ids.count(11) == 1 and ids.count(None) == 1 and 1 not in ids and 2 not in ids and 0 in ids
 
 
+def test_different_texts_of_one_doc_id_stay_and_true_repeats_go(spark):
+    text = lambda n: " ".join(f"{n}_{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("b")), (2, text("c")), (2, text("c")), (2, text("b") + " more"), (3, text("a") + " more"), (3, text("d")), (4, text("c") + " more")]
+    left = near_dup.drop_near_duplicates(spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)).collect()
+    assert sorted(r.text[0] for r in left) == ["a", "b", "c", "d"]
+
+
 def test_a_chain_of_near_copies_is_one_component(spark):
     """Ends of the chain are no near copies, and no bucket needs to hold both."""
     base = [f"t{i}" for i in range(400)]
@@ -182,6 +189,13 @@ def test_a_passage_is_found_whose_parts_were_first_seen_in_other_documents(spark
     assert all(f"{h}{at}_10" not in left[d] for at, ids in ((0, (3, 4)), (100, (102, 103))) for d in ids for h in "ab")
 
 
+def test_removal_cuts_only_the_text_of_a_doc_id_that_has_the_passage(spark):
+    passage, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "pq")
+    rows = [(1, passage), (2, "head " + passage), (2, other)]
+    left = substring.remove_repeats(spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)).collect()
+    assert sorted(r.text.strip() for r in left) == sorted([passage, "head", other])
+
+
 def test_every_window_of_an_earlier_document_lies_in_a_repeat(spark):
     rng = np.random.default_rng(5)
     parts = [[f"{n}_{i}" for i in range(rng.integers(5, 40))] for n in range(12)]
