@@ -50,6 +50,9 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+powers = _Powers.get
+
+
 class Block:
     """Texts ``row`` to ``row + n`` of a batch; offsets are byte positions in ``data``."""
 

@@ -6,11 +6,12 @@ encoding exactly if each piece may follow the one before it, which holds if merg
 their joined text by rank would give the two back.  So for every prefix of a
 word there is one last piece, the one whose predecessor is the prefix's own last piece and lets it follow.
 
-Words of equal length advance together: at each end position every piece length is
-probed by a hash of the substring in the sorted hashes of all pieces, the pairs of last
-piece and candidate are tested in one sweep, and the maximum over allowed lengths is the backpointer.
+Words of equal length advance together: for a slab of end positions every piece length is
+probed by a hash of the substring in the sorted hashes of all pieces (a bitmap of their first bits turns most away);
+then at each end position the pairs of last piece and candidate are tested in one sweep, and the maximum over allowed
+lengths is the backpointer.  A few very long words, which would make sweeps of one pair, are tested pair by pair.
 Characters that are no piece stand alone and become byte pieces.  The few words with runs of
-spaces, whose merges do not rise in rank, are merged one by one.
+spaces, whose merges do not rise in rank, are merged from a heap of pairs.  Time is near linear in a word's length.
 
 Defined results: null has the ids of the empty text, none; the space mark U+2581 within a text is
 decoded as a space, as the format has it.
@@ -18,6 +19,7 @@ decoded as a space, as the format has it.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 
@@ -26,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import mix64
+from .blocks import mix64, powers
 
 SPACE_MARK = "▁"
 REMEMBERED = 400_000
-#: Words of one length that advance together at most.
-BATCH = 8192
-_P = np.uint64(0x9E3779B97F4A7C15)
+#: Words of one length that advance together at most, and substrings probed at once.
+BATCH, PROBES = 8192, 1 << 19
+#: Fewer words than this are tested pair by pair.
+FEW = 12
+#: First bits of the pieces' hashes in the bitmap.
+FIRST_BITS = 20
 
 
 def default_model() -> str:
@@ -46,12 +51,18 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), -1).astype(np.uint64)
 
 
-def _prefixes(codes: np.ndarray) -> np.ndarray:
-    """Running polynomial hashes h(i + 1) = h(i) * P + code."""
-    h = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
-    for i in range(codes.shape[1]):
-        h[:, i + 1] = h[:, i] * _P + codes[:, i] + np.uint64(1)
-    return h
+class _Spans:
+    """64-bit hashes of the substrings of equally long texts."""
+
+    def __init__(self, codes: np.ndarray):
+        self.size = codes.shape[1]
+        up, self.down = powers(self.size + 1)
+        self.sums = np.zeros((len(codes), self.size + 1), np.uint64)
+        np.add.accumulate(mix64(codes + np.uint64(1)) * up[: self.size], axis=1, out=self.sums[:, 1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(texts, spans)"""
+        return mix64((self.sums[:, end] - self.sums[:, start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
 class Pieces:
@@ -106,10 +117,12 @@ class Pieces:
         h, size = np.zeros(len(made), np.uint64), np.array([len(names[order[k]]) for k in made])
         for length in np.unique(size):
             rows = np.flatnonzero(size == length)
-            h[rows] = _prefixes(_codes([names[order[made[r]]] for r in rows]))[:, -1]
-        h = mix64(h + size.astype(np.uint64))
+            h[rows] = _Spans(_codes([names[order[made[r]]] for r in rows])).hashes(np.zeros(1, np.int64), np.full(1, length))[:, 0]
         o = np.argsort(h)
         self.hashes, self.hashed = h[o], made[o]
+        self.first_bits = np.zeros(1 << FIRST_BITS, bool)
+        self.first_bits[h >> np.uint64(64 - FIRST_BITS)] = True
+        self.pairs, self.known = pairs, {}
 
     def _follows(self, a: int, b: int, pairs: dict[tuple[int, int], int]) -> bool:
         """Whether merging by rank leaves a bound between two pieces: undo merges from the last on and see that none crosses it."""
@@ -154,59 +167,111 @@ class Pieces:
             rows, limit, a, b = rows[go], limit[go], a[go], b[go]
         return out
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of equally long words without runs of spaces; a character that is no piece is marked by its code plus 2 ** 32."""
+    def _candidates(self, spans: _Spans, n: int):
+        """Slabs of end positions in order: the pieces (word, end, length, piece) that end there, in order of their ends."""
+        top = min(self.longest, spans.size)
+        step = max(1, PROBES // (n * top))
+        for lo in range(1, spans.size + 1, step):
+            end = np.repeat(np.arange(lo, min(lo + step, spans.size + 1)), top)
+            length = np.tile(np.arange(1, top + 1), len(end) // top)
+            fits = length <= end
+            end, length = end[fits], length[fits]
+            key = spans.hashes(end - length, end).T
+            at, w = np.nonzero(self.first_bits[key >> np.uint64(64 - FIRST_BITS)])
+            key = key[at, w]
+            row = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
+            hit = self.hashes[row] == key
+            at, w, row = at[hit], w[hit], row[hit]
+            yield w, end[at], length[at], self.hashed[row]
+
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of equally long words without runs of spaces, one word after the other, and each word's number of ids.
+
+        A character that is no piece is marked by its code plus 2 ** 32.
+        """
         codes = _codes(words)
         n, size = codes.shape
-        h = _prefixes(codes)
-        power = np.full(self.longest + 1, _P)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
         last = np.full((n, size + 1), -1, np.int64)  # piece that ends here; -1 at the start and after a character that is no piece
         back = np.ones((n, size + 1), np.int64)
-        for j in range(1, size + 1):
-            top = min(j, self.longest)
-            length = np.arange(1, top + 1)
-            sub = h[:, j : j + 1] - h[:, j - length] * power[length][None, :]
-            key = mix64(sub + length.astype(np.uint64)[None, :])
-            at = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
-            w, k = np.nonzero(self.hashes[at] == key)
-            if len(w):
-                cand = self.hashed[at[w, k]]
-                before = last[w, j - length[k]]
-                ok = before < 0
-                test = np.flatnonzero(~ok)
-                ok[test] = self.follows(before[test], cand[test])
-                best = np.zeros(n, np.int64)
-                np.maximum.at(best, w[ok], length[k[ok]])
-                back[:, j] = np.maximum(best, 1)
-                chosen = ok & (length[k] == best[w])
-                last[w[chosen], j] = cand[chosen]
-        out: list[list[int]] = [[] for _ in words]
+        advance = self._advance_few if n < FEW else self._advance
+        for w, end, length, piece in self._candidates(_Spans(codes), n):
+            advance(last, back, w, end, length, piece)
+        ends = np.zeros((n, size + 1), bool)
         at, rows = np.full(n, size), np.arange(n)
         while len(rows):
-            j = at[rows]
-            p = last[rows, j]
-            alone = codes[rows, j - 1] + np.uint64(1 << 32)
-            for r, x, y in zip(rows.tolist(), p.tolist(), alone.tolist(), strict=True):
-                out[r].append(int(self.ids[x]) if x >= 0 else y)
-            at[rows] = j - back[rows, j]
-            rows = rows[at[rows] > 0]
-        return [np.array(x[::-1], np.int64) for x in out]
+            ends[rows, at] = True
+            at = at - back[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        w, j = np.nonzero(ends)
+        piece = last[w, j]
+        ids = np.where(piece >= 0, self.ids[piece].astype(np.int64), codes[w, j - 1].astype(np.int64) + (1 << 32))
+        return ids, ends.sum(axis=1)
+
+    def _advance(self, last: np.ndarray, back: np.ndarray, w: np.ndarray, end: np.ndarray, length: np.ndarray, piece: np.ndarray) -> None:
+        cuts = np.flatnonzero(np.diff(end, prepend=-1))
+        for lo, hi in zip(cuts, [*cuts[1:], len(end)], strict=True):
+            j, at, size, cand = int(end[lo]), w[lo:hi], length[lo:hi], piece[lo:hi]
+            before = last[at, j - size]
+            ok = before < 0
+            test = np.flatnonzero(~ok)
+            ok[test] = self.follows(before[test], cand[test])
+            at, size, cand = at[ok], size[ok], cand[ok]
+            best = np.ones(len(last), np.int64)
+            np.maximum.at(best, at, size)
+            back[:, j] = best
+            chosen = size == best[at]
+            last[at[chosen], j] = cand[chosen]
+
+    def _advance_few(self, last: np.ndarray, back: np.ndarray, w: np.ndarray, end: np.ndarray, length: np.ndarray, piece: np.ndarray) -> None:
+        if not len(end):
+            return
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        lo, hi, known = max(0, int(end[0]) - self.longest), int(end[-1]), self.known
+        view, steps = last[:, lo : hi + 1].tolist(), {}
+        for r, j, size, cand in zip(w.tolist(), end.tolist(), length.tolist(), piece.tolist(), strict=True):
+            before = view[r][j - size - lo]
+            if before >= 0:
+                ok = known.get((before, cand))
+                if ok is None:
+                    ok = known[before, cand] = self._follows(before, cand, self.pairs)
+                if not ok:
+                    continue
+            if size >= steps.get((r, j), 0):
+                steps[r, j] = size
+                view[r][j - lo] = cand
+        last[:, lo : hi + 1] = view
+        for (r, j), size in steps.items():
+            back[r, j] = size
 
     def merged(self, word: str) -> np.ndarray:
         """Ids by merging the best pair, leftmost first, until none is left: for words with runs of spaces, and for tests."""
-        parts = list(word)
-        while True:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, where = s, i
-            if best is None:
-                break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
-        return np.array([self.id_of[p] if p in self.id_of else ord(p) + (1 << 32) for p in parts], np.int64)
+        parts: list[str | None] = list(word)
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, str, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                a, b = parts[i], parts[after[i]]
+                s = self.score.get(a + b)
+                if s is not None:
+                    heapq.heappush(heap, (-s, i, a, b))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            if parts[i] != a or after[i] >= n or parts[after[i]] != b:
+                continue  # one of the two has been merged since
+            j = after[i]
+            parts[i], parts[j] = a + b, None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return np.array([self.id_of[p] if p in self.id_of else ord(p) + (1 << 32) for p in parts if p is not None], np.int64)
 
     def _finish(self, ids: np.ndarray) -> bytes:
         if len(ids) and ids.max() >= 1 << 32:
@@ -227,7 +292,12 @@ class Pieces:
             step = max(1, min(BATCH, (1 << 18) // len(group[0])))
             for lo in range(0, len(group), step):
                 some = group[lo : lo + step]
-                self.memory.update(zip(some, map(self._finish, self.viterbi(some)), strict=True))
+                ids, n = self.viterbi(some)
+                ends = np.cumsum(n)
+                raw = ids.astype("<u4").tobytes()  # wrong for characters that are no piece, whose words are done again
+                self.memory.update((x, raw[4 * (e - k) : 4 * e]) for x, e, k in zip(some, ends.tolist(), n.tolist(), strict=True))
+                for i in np.unique(np.searchsorted(ends, np.flatnonzero(ids >= 1 << 32), "right")):
+                    self.memory[some[i]] = self._finish(ids[ends[i] - n[i] : ends[i]])
 
     @staticmethod
     def words(text: str) -> list[str]:

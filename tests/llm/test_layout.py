@@ -143,6 +143,22 @@ def test_pieces_equal_the_library(spark, sf):
     assert [p.decode(b) for b in got] == [t.replace("▁", " ") for t in texts]
 
 
+def test_pieces_of_very_long_words_and_runs_of_spaces():
+    import time
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    p = pieces.Pieces(pieces.default_model())
+    rng = random.Random(5)
+    texts = [" " * 100_000, "a" + " " * 70_001 + "b", "x" * 100_000, "".join(rng.choice("etaoinshrdlué日😀") for _ in range(100_000)), " " * 50_000 + "\n" + " " * 33]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(3_000)) for _ in range(20)]
+    began = time.perf_counter()
+    got = p.encode(texts)
+    assert time.perf_counter() - began < 30
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == sp.encode(texts)
+
+
 def test_pieces_round_trip(spark):
     got = {r.doc_id: r for r in pieces.round_trip(odd(spark)).collect()}
     assert all(r.same for r in got.values()) and got[3].n_pieces == 0 and got[4].n_pieces == 0
