@@ -7,7 +7,7 @@ their joined text by rank would give the two back.  So for every prefix of a
 word there is one last piece, the one whose predecessor is the prefix's own last piece and lets it follow.
 
 Words of equal length advance together: for a slab of end positions every piece length is
-probed by a hash of the substring in the sorted hashes of all pieces (a bitmap of their first bits turns most away);
+probed by a hash of the substring in the sorted hashes of all pieces (indexed by their first bits);
 then at each end position the pairs of last piece and candidate are tested in one sweep, and the maximum over allowed
 lengths is the backpointer.  A few very long words, which would make sweeps of one pair, are tested pair by pair.
 Characters that are no piece stand alone and become byte pieces.  The few words with runs of
@@ -36,8 +36,8 @@ REMEMBERED = 400_000
 BATCH, PROBES = 8192, 1 << 19
 #: Fewer words than this are tested pair by pair.
 FEW = 12
-#: First bits of the pieces' hashes in the bitmap.
-FIRST_BITS = 20
+#: Bits of a hash that name its slot, in the index of the pieces' hashes and in the memory of tested pairs.
+SLOT_BITS = 20
 
 
 def default_model() -> str:
@@ -51,6 +51,10 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), -1).astype(np.uint64)
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 class _Spans:
     """64-bit hashes of the substrings of equally long texts."""
 
@@ -120,9 +124,12 @@ class Pieces:
             h[rows] = _Spans(_codes([names[order[made[r]]] for r in rows])).hashes(np.zeros(1, np.int64), np.full(1, length))[:, 0]
         o = np.argsort(h)
         self.hashes, self.hashed = h[o], made[o]
-        self.first_bits = np.zeros(1 << FIRST_BITS, bool)
-        self.first_bits[h >> np.uint64(64 - FIRST_BITS)] = True
+        slot, first, share = np.unique(_slot(self.hashes), return_index=True, return_counts=True)
+        self.first_at = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.first_at[slot] = first
+        self.share = int(share.max(initial=1))  # pieces with the same slot
         self.pairs, self.known = pairs, {}
+        self.tested, self.verdict = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
 
     def _follows(self, a: int, b: int, pairs: dict[tuple[int, int], int]) -> bool:
         """Whether merging by rank leaves a bound between two pieces: undo merges from the last on and see that none crosses it."""
@@ -145,7 +152,20 @@ class Pieces:
                         return True
 
     def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The same for arrays of pairs."""
+        """The same for arrays of pairs, most of which have been tested before."""
+        key = a * self.n + b
+        slot = _slot(mix64(key.astype(np.uint64)))
+        out = self.verdict[slot]
+        new = np.flatnonzero(self.tested[slot] != key)
+        if len(new):
+            out[new] = found = self._test(a[new], b[new])
+            slot = slot[new]
+            self.tested[slot] = key[new]
+            kept = self.tested[slot] == key[new]  # of several new pairs with one slot one is remembered
+            self.verdict[slot[kept]] = found[kept]
+        return out
+
+    def _test(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), bool)
         rows, limit = np.arange(len(a)), np.full(len(a), self.n)
         a, b = a.copy(), b.copy()
@@ -177,10 +197,13 @@ class Pieces:
             fits = length <= end
             end, length = end[fits], length[fits]
             key = spans.hashes(end - length, end).T
-            at, w = np.nonzero(self.first_bits[key >> np.uint64(64 - FIRST_BITS)])
-            key = key[at, w]
-            row = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
+            row = self.first_at[_slot(key)]
+            at, w = np.nonzero(row >= 0)
+            key, row = key[at, w], row[at, w].astype(np.int64)
             hit = self.hashes[row] == key
+            for _ in range(1, self.share):
+                row = np.where(hit, row, np.minimum(row + 1, len(self.hashes) - 1))
+                hit = self.hashes[row] == key
             at, w, row = at[hit], w[hit], row[hit]
             yield w, end[at], length[at], self.hashed[row]
 
@@ -225,7 +248,7 @@ class Pieces:
     def _advance_few(self, last: np.ndarray, back: np.ndarray, w: np.ndarray, end: np.ndarray, length: np.ndarray, piece: np.ndarray) -> None:
         if not len(end):
             return
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED // 8:
             self.known.clear()
         lo, hi, known = max(0, int(end[0]) - self.longest), int(end[-1]), self.known
         view, steps = last[:, lo : hi + 1].tolist(), {}
