@@ -62,6 +62,7 @@ class Block:
         self.data = LOWER[data] if lower else data
         self._prefix: np.ndarray | None = None
         self._words: tuple | None = None
+        self._characters: np.ndarray | None = None
 
     @property
     def prefix(self) -> np.ndarray:
@@ -99,6 +100,13 @@ class Block:
             self._words = starts, ends, np.searchsorted(starts, self.offsets)
         return self._words
 
+    @property
+    def characters(self) -> np.ndarray:
+        """Where each character begins, and the block's end."""
+        if self._characters is None:
+            self._characters = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), len(self.data))
+        return self._characters
+
     def word_hashes(self) -> tuple[np.ndarray, np.ndarray]:
         s, e, at = self.words
         return self.span_hash(s, e), at

@@ -1,30 +1,34 @@
 """Language identification, word first: known words by their frequency in each language, unseen ones by character n-grams.
 
-Training counts the words of a bounded sample of texts with a known language (the first
-``PER_LANG`` of each by a hash of the text; a documented bound on labelled rows) and the
+Training counts the words of a bounded sample of texts with a known language (about ``PER_LANG`` documents of each, those
+whose hash of doc_id is least; a documented bound on labelled rows) and the
 n-grams of those words.  A known word scores by its smoothed log frequency in each
 language.  In an unseen word, each end position scores by the longest n-gram ending
-there that training has seen, from ``NGRAM`` bytes down to one.  N-grams are of UTF-8 bytes, with the word's bounds included.
+there that training has seen, from ``NGRAM`` characters down to one, with the word's begin included.
 
 Tables are sorted arrays of 64-bit hashes; their size is bounded by the sample.
 
 Defined results: ``und`` with score 0 for texts that are null or have no letter, and when training
-has no language; ties go to the first language in order; rows with a null language or doc_id don't train.
+has no language; ties go to the first language in order; rows with a null language or doc_id don't train, nor do
+texts longer than ``TRAIN_CHARS``; repeated rows train once; beyond ``MAX_LANGS`` languages those with most documents are learned.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, per_text
 from .quality import bucket_of
+from .scratch import materialize
+from .sift import below
 
-PER_LANG = 400
+PER_LANG = 1000
 MAX_LANGS = 256
 #: Longer texts are not taken into the training sample, so that its size is bounded.
 TRAIN_CHARS = 32_000
@@ -49,19 +53,22 @@ def _lower_upper_latin(column: pa.Array) -> pa.Array:
 
 
 def grams(b: Block, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that end at each byte of the words given, and the word of each.
+    """Hashes of the n-grams that end at each character of the words given, and the word of each.
 
-    An n-gram that would begin before its word's first byte begins with the byte before it if that is one byte away (the word's bound), else there is none: hash 0.
+    An n-gram that would begin one character before its word begins with a mark instead; one that would begin earlier has hash 0.
     """
-    size = ends - starts
+    chars = b.characters
+    first = np.searchsorted(chars, starts)
+    size = np.searchsorted(chars, ends) - first
     word = np.repeat(np.arange(len(starts)), size)
     at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    end = np.repeat(starts, size) + at + 1
-    ok = at + 1 >= n
+    last = np.repeat(first, size) + at
+    end = chars[last + 1]  # a word ends where a character begins, or the block does
     out = np.zeros(len(end), np.uint64)
-    out[ok] = b.span_hash(end[ok] - n, end[ok])
-    edge = at + 2 == n  # the bound and the first n - 1 bytes
-    out[edge] = ~b.span_hash(end[edge] - (n - 1), end[edge])
+    ok = at + 1 >= n
+    out[ok] = b.span_hash(chars[last[ok] + 1 - n], end[ok])
+    edge = at + 2 == n  # the mark and the first n - 1 characters
+    out[edge] = ~b.span_hash(chars[last[edge] + 2 - n], end[edge])
     return out, word
 
 
@@ -142,30 +149,47 @@ def _logs(parts: list[tuple[np.ndarray, np.ndarray]], smooth: float) -> tuple[np
     return h[at], np.log((count + smooth) / (total + smooth * (len(at) + 1)))
 
 
-def fit(docs: DataFrame, allowed: Column | None = None) -> Languages | None:
-    """Train on the first ``PER_LANG`` texts of each language by a hash; null without any."""
-    d = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+def training_sample(docs: DataFrame, allowed: Column | None = None) -> DataFrame:
+    """doc_id, lang and text of about ``PER_LANG`` documents of each language."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    d = d.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= TRAIN_CHARS))
     if allowed is not None:
         d = d.filter(allowed)
-    key = d.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    got = key.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= PER_LANG).orderBy("lang", "k").limit(PER_LANG * MAX_LANGS).select("lang", "text").toArrow()
-    names = sorted(set(got.column("lang").to_pylist()))
+    h = F.xxhash64("doc_id")
+    counts = d.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    share = F.lit(False)
+    for r in counts:
+        share = F.when(F.col("lang") == r["lang"], below(h, min(1.0, PER_LANG / max(1, r["n"])))).otherwise(share)
+    return d.filter(share).distinct()
+
+
+def _tables(sample: DataFrame, rows: int = 512):
+    """The rows in small Arrow tables, one partition after the other."""
+    it = sample.select("lang", "text").toLocalIterator()
+    while held := list(itertools.islice(it, rows)):
+        yield pa.table({"lang": [r["lang"] for r in held], "text": pa.array([r["text"] for r in held], pa.string())})
+
+
+def fit(docs: DataFrame, allowed: Column | None = None) -> Languages | None:
+    """Train on the sample; null without any rows.  The driver reads it part by part and keeps only tables of counts."""
+    got = materialize(training_sample(docs, allowed), "langs")
+    names = sorted(r["lang"] for r in got.select("lang").distinct().collect())
     if not names:
         return None
     number = {n: i for i, n in enumerate(names)}
-    lang = np.array([number[x] for x in got.column("lang").to_pylist()])
     word_parts, gram_parts = [], [[] for _ in range(NGRAM)]
-    row = 0
-    for b in blocks(_lower_upper_latin(got.column("text").combine_chunks()), limit=1 << 18):  # counted block by block: memory follows the tables
-        s, e, at = b.words
-        of = np.repeat(lang[row : row + b.n], np.diff(at))
-        row += b.n
-        word_parts.append(_counted(b.span_hash(s, e), of, len(names)))
-        for n in range(1, NGRAM + 1):
-            g, word = grams(b, s, e, n)
-            ok = g != 0
-            gram_parts[n - 1].append(_counted(g[ok], of[word[ok]], len(names)))
+    for some in _tables(got):
+        lang = np.array([number[x] for x in some.column("lang").to_pylist()])
+        row = 0
+        for b in blocks(_lower_upper_latin(some.column("text").combine_chunks()), limit=1 << 18):
+            s, e, at = b.words
+            of = np.repeat(lang[row : row + b.n], np.diff(at))
+            row += b.n
+            word_parts.append(_counted(b.span_hash(s, e), of, len(names)))
+            for n in range(1, NGRAM + 1):
+                g, word = grams(b, s, e, n)
+                ok = g != 0
+                gram_parts[n - 1].append(_counted(g[ok], of[word[ok]], len(names)))
     words, word_logs = _logs(word_parts, WORD_SMOOTH)
     tables = [_logs(p, GRAM_SMOOTH) for p in gram_parts]
     return Languages(names, words, word_logs, [t[0] for t in tables], [t[1] for t in tables])

@@ -146,11 +146,11 @@ def classify(docs: DataFrame, labels: DataFrame, mod: int = 3, hold: int = 1) ->
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is at least 0.5, trained on all labelled rows among them.
 
-    Two passes over texts, no shuffle of them: the second scores each text where it is read.
+    Two passes over texts: one writes the features of each row, of which the labelled ones are found by a join of ids and
+    features; the second scores each text where it is read.  Texts are never shuffled.
     """
-    y = clean_labels(labels)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(y, "doc_id")
-    model = fit(known.select("label", features_column().alias("features")))
+    x = materialize(featured(docs), "features")
+    model = fit(x.join(clean_labels(labels), "doc_id"))
 
     @F.arrow_udf("double")
     def score(t: pa.Array) -> pa.Array:

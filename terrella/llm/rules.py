@@ -1,13 +1,14 @@
 """Quality rules: hard limits, then an isolation forest over rule statistics.
 
-The forest's trees are grown on the driver from a bounded sample (``SAMPLE`` rows, the
-first by a hash of doc_id and text statistics; a documented bound of the method, which grows each
-tree on a few hundred rows).  Every document is scored.  The threshold comes from a
+The forest's trees are grown on the driver from a bounded sample of the documents (about ``SAMPLE`` of them, those whose
+hash of doc_id and statistics is least; a documented bound of the method, which grows each
+tree on a few hundred rows).  Documents with equal texts enter each by its own doc_id, so a group of copies
+has its share of the sample.  Every document is scored.  The threshold comes from a
 histogram of the scores of all labelled rows: the one that separates the labels best while rejecting at most
 ``MAX_GOOD_LOST`` of the good ones.  Without labels of both kinds nothing is rejected but by the limits.
 
-Defined results: null and empty texts have zero counts and fail the limits; ties of the
-hash cannot matter, as tied rows have equal statistics; repeated rows are scored alike.
+Defined results: null and empty texts have zero counts and fail the limits; repeated rows of one doc_id
+and text are one row of the sample and are scored alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .quality import clean_labels
 from .scratch import materialize
+from .sift import sample_by_hash
 from .stats import COUNTS, text_stats
 
 SAMPLE, TREES, PER_TREE, SEED = 8192, 100, 256, 17
@@ -120,9 +122,9 @@ def anomaly(forest: Forest, source: Column) -> Column:
 
 
 def fit_forest(stats: DataFrame) -> Forest | None:
-    """``stats``: rules array<double>.  Null if there are no rows."""
-    got = stats.select("rules").orderBy(F.xxhash64("rules"), "rules").limit(SAMPLE).collect()
-    return grow(np.array([r["rules"] for r in got])) if got else None
+    """``stats``: doc_id and rules array<double>.  Null if there are no rows."""
+    got = sample_by_hash(stats, SAMPLE, "doc_id", "rules").select("rules", F.xxhash64("doc_id", "rules").alias("h")).distinct().collect()
+    return grow(np.array([r["rules"] for r in sorted(got, key=lambda r: (r["h"], r["rules"]))])) if got else None
 
 
 def calibrate(scored: DataFrame) -> float:
