@@ -76,6 +76,25 @@ def test_top_k_over_several_shards(spark, monkeypatch):
     assert got == brute_top(ints, 50, 5)
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 20)
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(0, 30)]) for i in range(150)]
+    rows += [(200, [1e12, 1.0, 0.0]), (250, [2e12, 1.0, 0.0]), (251, [-2e12, 1.0, 0.0]), (252, [3e38, -3e38, 3e38]), (-50, [1e-3, -1e-3, 1.0]), (300, [2e15 + 0.25, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    import math
+    from fractions import Fraction
+
+    ints = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows]
+    want = {q: [(c, max(-(2**63), min(2**63 - 1, s))) for c, s in r] for q, r in brute_top(ints, 50, 5).items()}
+    got = {}
+    for r in topk.top_k(df, 50, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+    beyond = [topk._order_text(x) for x in (-(10**40), -(10**39) - 5, -(10**39), -(2**63) - 1, -(2**63), 0, 2**63, 2**63 + 1, 10**25)]
+    assert beyond == sorted(beyond)
+
+
 def test_plan_equals_best_fit_decreasing():
     for seed in range(150):
         rng = random.Random(seed)
