@@ -8,9 +8,11 @@ numbers of n-grams seen once, twice and more.  It passes each distinct n-gram's
 continuation count of the next lower order.  The lowest order also gets plain word counts.
 All counts cover all training rows; nothing is pruned or sampled.
 
-Hot contexts.  Words with a large share of tokens, found in a hash sample of the rows, have
-their n-grams dealt by the last word over all reducers, and their totals summed from all
-files.  The sample only decides where n-grams are counted, never what is counted.
+Parts.  Their number follows the bytes of the training texts, so that a reducer holds as much at any size.
+
+Hot contexts.  Contexts of any length with a large share of the tokens, found in a hash sample of the rows, have
+their n-grams dealt by the last word over all reducers, and their totals summed over all reducers by an
+aggregate.  The sample only decides where n-grams are counted, never what is counted.
 
 Scoring.  Workers map the files (see ``scratch.fetch``) and look up whole blocks of tokens
 with searches of sorted arrays; memory in use does not grow with the model.
@@ -33,17 +35,22 @@ from pyspark.sql import functions as F
 
 from .blocks import blocks, mix64
 from .quality import bucket_of
-from .scratch import fetch, scratch_path, store_bytes
+from .scratch import fetch, materialize, scratch_path, store_bytes
+from .sift import below
 
 #: Fits the disk allowed for a model of all n-grams; any order from 2 on works.
 ORDER = 2
 CHUNK_TOKENS = 3_000_000
+#: Bytes of training text for each part.
+PART_BYTES = 8 << 20
 HOT_SHARE, HOT_SAMPLE = 0.0005, 64
 BEGIN, END = (mix64(np.array([x], np.uint64))[0] for x in (0xBE61, 0xE4D))
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 
 ROW = "level int, part int, n long, blob binary"
 META = "level int, part int, n long, blob binary"
+#: The level that rows with totals of hot contexts bear; descriptions of files bear their level's negative.
+HOT = -1000
 
 
 def chain(cols: list[np.ndarray]) -> np.ndarray:
@@ -61,15 +68,14 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 def word_parts(parts: int) -> int:
     """Words are few beside n-grams, and every reducer sends to each of their parts: so those are fewer."""
-    return max(8, parts // 16)
+    return max(8, parts // 4)
 
 
-def place(ctx: np.ndarray, first: np.ndarray, last: np.ndarray, hot: np.ndarray, parts: int, level: int) -> np.ndarray:
-    """Where an n-gram is counted and looked up."""
+def place(ctx: np.ndarray, last: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """Where an n-gram is counted and looked up, by its context's hash or, in a hot context, by its last word's."""
     p = part_of(ctx, parts)
-    if level == 2 and len(hot):
-        is_hot = _member(hot, first)
-        p[is_hot] = part_of(mix64(last[is_hot]), parts)
+    is_hot = _member(hot, ctx)
+    p[is_hot] = part_of(mix64(last[is_hot]), parts)
     return p
 
 
@@ -155,7 +161,7 @@ def _counter(order: int, parts: int, hot: np.ndarray):
                 first = cols[0] == BEGIN
                 cols = [c[first] for c in cols]
             cols, counts = combine(cols, np.ones(len(cols[0]), np.int64))
-            part = place(chain(cols[:-1]), cols[0], cols[-1], hot, parts, m)
+            part = place(chain(cols[:-1]), cols[-1], hot, parts)
             yield _batch(list(_rows(m, cols, counts, part)))
         words, counts = np.unique(tokens, return_counts=True)
         yield _batch(list(_rows(0, [words], counts.astype(np.int64), part_of(words, word_parts(parts)))))
@@ -206,8 +212,9 @@ def _reducer(level: int, parts: int, hot: np.ndarray, folder: str):
             new = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
             kinds = [counts, counts == 1, counts == 2, counts >= 3]
             stats = [np.add.reduceat(k.astype(np.int64), new) for k in kinds]
-            whole = ~_member(hot, cols[0][new]) if level == 2 else np.ones(len(new), bool)
-            about["hot"] = [[int(c), *map(int, s)] for c, *s in zip(ctx[new][~whole].astype(object), *(x[~whole] for x in stats), strict=True)]
+            whole = ~_member(hot, ctx[new])
+            if not whole.all():
+                out.append((HOT, part, int((~whole).sum()), b"".join([ctx[new][~whole].tobytes(), *(x[~whole].astype(np.int64).tobytes() for x in stats)])))
             by = np.argsort(ctx[new][whole], kind="stable")
             key = mix64(ctx * _C + cols[-1])
             o = np.argsort(key, kind="stable")
@@ -215,7 +222,7 @@ def _reducer(level: int, parts: int, hot: np.ndarray, folder: str):
             arrays = [key[o], large.astype(np.int64), counts[o][large], ctx[new][whole][by], stats[0][whole][by], *(s[whole][by].astype(np.uint32) for s in stats[1:]), small]
             suffix = cols[1:]
             suffix, n1 = combine(suffix, np.ones(len(counts), np.int64))
-            target = part_of(suffix[0], word_parts(parts)) if level == 2 else place(chain(suffix[:-1]), suffix[0], suffix[-1], hot, parts, level - 1)
+            target = part_of(suffix[0], word_parts(parts)) if level == 2 else place(chain(suffix[:-1]), suffix[-1], hot, parts)
             starts = suffix[0] == BEGIN  # these keep plain counts, which the texts gave
             out += list(_rows(level - 1, [c[~starts] for c in suffix], n1[~starts], target[~starts]))
         elif level == 1:
@@ -243,7 +250,8 @@ class Model:
     hot: np.ndarray
     files: dict = field(default_factory=dict)  # (level, part) -> description
     discounts: dict = field(default_factory=dict)
-    hot_stats: dict = field(default_factory=dict)
+    hot_names: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hot contexts, in order
+    hot_stats: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))  # total, and n-grams seen once, twice and more
     words: int = 0
     tokens: int = 0
     total: int = 0  # of continuation counts
@@ -317,7 +325,7 @@ def probabilities(model: Model, tokens: np.ndarray, bounds: np.ndarray) -> tuple
         key = mix64(ctx * _C + cols[-1])
         count, total, rest = np.zeros(len(pos), np.int64), np.zeros(len(pos)), np.zeros(len(pos))
         d = model.discounts[m]
-        for p_, rows in _by_part(place(ctx, cols[0], cols[-1], model.hot, model.parts, m), key):
+        for p_, rows in _by_part(place(ctx, cols[-1], model.hot, model.parts), key):
             if (about := model.files.get((m, p_))) and "file" in about:
                 keys, large, values, contexts, sums, n1, n2, n3, small = arrays_of(about)
                 at, ok = _find(keys, key[rows])
@@ -329,12 +337,9 @@ def probabilities(model: Model, tokens: np.ndarray, bounds: np.ndarray) -> tuple
                 r, at = rows[ok], at[ok]
                 total[r] = sums[at]
                 rest[r] = d[0] * n1[at] + d[1] * n2[at] + d[2] * n3[at]
-        if m == 2 and model.hot_stats:
-            names = np.array(sorted(model.hot_stats), np.uint64)
-            table = np.array([model.hot_stats[int(x)] for x in names], np.float64)
-            at, ok = _find(names, ctx)
-            total[ok] = table[at[ok], 0]
-            rest[ok] = table[at[ok], 1:] @ np.array(d)
+        at, ok = _find(model.hot_names, ctx)
+        total[ok] = model.hot_stats[at[ok], 0]
+        rest[ok] = model.hot_stats[at[ok], 1:] @ np.array(d)
         seen = total > 0
         t = np.where(seen, total, 1.0)
         p[pos] = np.where(seen, _discounted(count, d) / t + rest / t * p[pos], p[pos])
@@ -351,26 +356,47 @@ def _discounts(seen: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1, 2, 3), strict=True))
 
 
-def hot_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of words with a large share of the tokens in a sample of the texts by hash; at most a few thousand."""
+def hot_contexts(docs: DataFrame, order: int) -> np.ndarray:
+    """Hashes of contexts of any length with a large share of the tokens in a sample of the texts by hash; at most a few thousand a length."""
+    most = int(1 / HOT_SHARE)
 
     def count(batches):
-        tokens = [np.zeros(0, np.uint64)]
+        held, n = [], 0
         for batch in batches:
-            for _, t, _ in sequences(batch.column("text")):
-                tokens.append(t)
-                if sum(map(len, tokens)) > CHUNK_TOKENS:
-                    break
-        w, n = np.unique(np.concatenate(tokens), return_counts=True)
-        top = np.argsort(-n, kind="stable")[: int(1 / HOT_SHARE)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(w[top].view(np.int64), 0)), pa.array(np.append(n[top], 0)), pa.array(np.append(np.zeros(len(top), np.int64), n.sum()))], ["w", "n", "total"])
-
-    part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select("text").mapInArrow(count, "w long, n long, total long")
-    sums = part.groupBy("w").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    rows = sums.orderBy(F.desc("total"), F.desc("n"), "w").limit(int(1 / HOT_SHARE)).collect()
+            for _, t, bounds in sequences(batch.column("text")):
+                if n < CHUNK_TOKENS:
+                    held.append((t, bounds))
+                    n += len(t)
+        for m in range(2, order + 1):
+            ctx = [chain(tuples(t, bounds, m)[0][:-1]) for t, bounds in held]
+            c, k = np.unique(np.concatenate([*ctx, np.zeros(0, np.uint64)]), return_counts=True)
+            top = np.argsort(-k, kind="stable")[:most]
+            top = top[k[top] >= max(2, HOT_SHARE * n / 8)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[top].view(np.int64)), pa.array(k[top]), pa.array(np.zeros(len(top), np.int64))], ["c", "n", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], ["c", "n", "total"])
+
+    part = docs.filter(below(F.xxhash64("text"), 1 / HOT_SAMPLE)).select("text").mapInArrow(count, "c long, n long, total long")
+    sums = part.groupBy("c").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    rows = sums.orderBy(F.desc("total"), F.desc("n"), "c").limit(order * most).collect()
     total = max([r["total"] for r in rows], default=0)
-    found = [r["w"] for r in rows if not r["total"] and r["n"] >= HOT_SHARE * total]
-    return np.sort(np.array([*found, np.int64(BEGIN.view(np.int64))], np.int64).view(np.uint64))
+    found = [r["c"] for r in rows if not r["total"] and r["n"] >= HOT_SHARE * total]
+    begin = [chain([np.array([BEGIN])] * m)[0] for m in range(1, order)]  # every text has these
+    return np.unique(np.concatenate([np.array(found, np.int64).view(np.uint64), np.array(begin, np.uint64)]))
+
+
+def _hot_totals(meta: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hot contexts and their totals over all parts."""
+
+    def run(batches):
+        for batch in batches:
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(blob, np.int64).reshape(5, n)], ["c", "t", "n1", "n2", "n3"])
+
+    stats = meta.filter(F.col("level") == HOT).select("n", "blob").mapInArrow(run, "c long, t long, n1 long, n2 long, n3 long")
+    got = stats.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("t", "n1", "n2", "n3")]).collect()
+    names = np.array([r["c"] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], np.array([tuple(r)[1:] for r in got], np.float64).reshape(-1, 4)[order]
 
 
 def train(docs: DataFrame, order: int = ORDER, parts: int | None = None) -> Model:
@@ -379,18 +405,18 @@ def train(docs: DataFrame, order: int = ORDER, parts: int | None = None) -> Mode
 
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    parts = parts or 3 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = hot_words(texts)
+    parts = parts or max(8, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    hot = hot_contexts(texts, order)
     folder = scratch_path(spark, "ngrams")
     rows = texts.mapInArrow(_counter(order, parts, hot), ROW)
     for level in range(order, 0, -1):
         rows = rows.groupBy("part").applyInArrow(_reducer(level, parts, hot, folder), META)
     model = Model(order, parts, hot)
     seen: dict[int, np.ndarray] = {}
-    for r in rows.collect():  # descriptions only: one row for each level and part
+    meta = materialize(rows, "counted")
+    model.hot_names, model.hot_stats = _hot_totals(meta)
+    for r in meta.filter(F.col("level") > HOT).collect():  # descriptions only: one row for each level and part
         level, about = -r["level"], json.loads(bytes(r["blob"]))
-        for c, *s in about.pop("hot", []):
-            model.hot_stats[c] = np.array(s, np.int64) + model.hot_stats.get(c, 0)
         seen[level] = seen.get(level, 0) + np.array([*about["seen"], about["n"], about["total"]], np.int64)
         if level == 1:
             model.words += about["words"]
