@@ -1,7 +1,8 @@
 """Shared scratch space: the folder that driver and executors both see.
 
-The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that
-is unset (tests, a laptop) is one of our own taken.
+The folder is the one the session names in ``spark.checkpoint.dir``.  Where that
+is unset, a session on one machine gets one of our own; on a cluster that is an error, as each
+machine would see another folder.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI, also set as the context's checkpoint folder."""
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    own = sc._jsc.sc().getCheckpointDir()
+    if not conf and own.isDefined():
+        conf = own.get()
+    if not conf and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = (conf or OWN_DIR).rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(base)
@@ -49,7 +55,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave and whose last reader is done; other frames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            _remove(t.sparkSession, path)
 
 
 def fetch(uri: str) -> str:

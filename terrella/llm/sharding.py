@@ -2,9 +2,10 @@
 
 Nodes are split at weighted medians along the metadata dimension that is widest in them
 (relative to its range in all rows) until there are as many leaves as the target
-bytes ask for.  All nodes of a level are split together.  A median is found exactly by
-distributed histograms that narrow an interval of integer keys, so the driver sees a
-bounded number of counters and never rows.
+bytes ask for.  All nodes of a level are split together: their cuts are a table of one row a node, joined
+by node (the one broadcast, of as many rows as there are leaves).  A median is found exactly by
+distributed histograms that narrow an interval of integer keys; all of a step have ``COUNTERS``
+bins together, so the driver sees a bounded number of counters and never rows.
 
 The order along a dimension is (coordinate, text hash, doc_id).  Coordinates are the same for
 equal texts, so groups of equal texts stay whole unless a cut at the group's border would
@@ -23,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import gapless
-from .scratch import materialize
+from .scratch import discard, materialize
 
 TOLERANCE = 0.01
-BINS = 1024
+#: Bins of a histogram at most and at least, and of all histograms of a step together.
+BINS, FEWEST_BINS, COUNTERS = 1024, 8, 1 << 18
 #: Dimensions, each an integer from the text's own statistics.
 DIMENSIONS = ("d_size", "d_chars", "d_lines", "d_hash")
 
@@ -45,53 +47,57 @@ class Cut:
     doc: int | None = None
     before: int = 0
 
-    def below(self) -> Column:
-        v = F.col(self.dim)
-        if self.hash is None:
-            return v < self.value
-        if self.doc is None:
-            return (v < self.value) | ((v == self.value) & (F.col("h") < self.hash))
-        return (v < self.value) | ((v == self.value) & ((F.col("h") < self.hash) | ((F.col("h") == self.hash) & (F.col("id") < self.doc))))
 
+CUTS = "c_node int, c_dim string, c_value long, c_hash long, c_doc long, c_lo long, c_hi long, c_step long"
+
+
+def _beside(rows: DataFrame, cuts: list[Cut], intervals: dict[int, tuple] | None = None, how: str = "inner") -> DataFrame:
+    """Rows (``how`` inner: only those of the nodes cut), each with its node's cut, ``v`` (its coordinate there) and the interval searched."""
+    none = (None, None, None)
+    table = rows.sparkSession.createDataFrame([(c.node, c.dim, c.value, c.hash, c.doc, *(intervals or {}).get(c.node, none)) for c in cuts], CUTS)
+    dims = F.create_map(*[x for d in DIMENSIONS for x in (F.lit(d), F.col(d))])
+    return rows.join(F.broadcast(table), F.col("node") == F.col("c_node"), how).withColumn("v", dims[F.col("c_dim")])
 
-def _case(cuts: list[Cut], value) -> Column:
-    out = None
-    for c in cuts:
-        out = F.when(F.col("node") == c.node, value(c)) if out is None else out.when(F.col("node") == c.node, value(c))
-    return out
 
+def _goes_left() -> Column:
+    """Whether a row beside its cut lies below it."""
+    v, h = F.col("v"), F.col("h")
+    same = F.col("c_hash").isNotNull() & (v == F.col("c_value"))
+    tied = same & F.col("c_doc").isNotNull() & (h == F.col("c_hash"))
+    return (v < F.col("c_value")) | F.coalesce(same & (h < F.col("c_hash")), F.lit(False)) | F.coalesce(tied & (F.col("id") < F.col("c_doc")), F.lit(False))
 
-def _crossings(rows: DataFrame, cuts: list[Cut], key, where) -> dict[int, tuple[int, int, int]]:
+
+def _crossings(rows: DataFrame, cuts: list[Cut], key: Column, where: Column) -> dict[int, tuple[int, int, int]]:
     """For each cut the key at which the running weight passes its goal: (key, weight below it, weight at it).
 
-    ``key(cut)`` is the integer column searched and ``where(cut)`` the rows that count; ``cut.before`` is the weight below them.
+    ``key`` is the integer searched and ``where`` tells the rows that count, both over rows beside their cut; ``cut.before`` is the weight below them.
     """
-    sub = rows.withColumn("_key", _case(cuts, key)).withColumn("_in", _case(cuts, where)).filter("_in").select("node", "_key", "w")
-    bounds = {r["node"]: [r["lo"], r["hi"], c.before] for r in sub.groupBy("node").agg(F.min("_key").alias("lo"), F.max("_key").alias("hi")).collect() for c in cuts if c.node == r["node"]}
+    ends = _beside(rows, cuts).filter(where).groupBy("node").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+    before = {c.node: c.before for c in cuts}
+    bounds = {r["node"]: (r["lo"], r["hi"], before[r["node"]]) for r in ends}
     goal = {c.node: c.goal for c in cuts}
     out: dict[int, tuple[int, int, int]] = {}
+    wide = lambda c: F.col(c).cast("decimal(20,0)")  # noqa: E731  # differences of 64-bit keys can pass 64 bits
     while todo := [c for c in cuts if c.node in bounds and c.node not in out]:
-        step = {c.node: max(1, -(-(bounds[c.node][1] - bounds[c.node][0] + 1) // BINS)) for c in todo}
-        lo = _case(todo, lambda c: F.lit(bounds[c.node][0]))
-        hi = _case(todo, lambda c: F.lit(bounds[c.node][1]))
-        by = _case(todo, lambda c: F.lit(step[c.node]))
-        # differences of 64-bit keys can pass 64 bits
-        bin_ = F.floor((F.col("_key").cast("decimal(20,0)") - lo.cast("decimal(20,0)")) / by.cast("decimal(20,0)")).cast("long")
-        hist: dict[int, dict[int, int]] = {}
-        for r in sub.filter(lo.isNotNull() & F.col("_key").between(lo, hi)).groupBy("node", bin_.alias("b")).agg(F.sum("w").alias("w")).collect():
-            hist.setdefault(r["node"], {})[r["b"]] = r["w"]
+        bins = max(FEWEST_BINS, min(BINS, COUNTERS // len(todo)))
+        step = {c.node: max(1, -(-(bounds[c.node][1] - bounds[c.node][0] + 1) // bins)) for c in todo}
+        sub = _beside(rows, todo, {c.node: (*bounds[c.node][:2], step[c.node]) for c in todo}).filter(where).withColumn("k", key).filter("k between c_lo and c_hi")
+        bin_ = F.floor((wide("k") - wide("c_lo")) / wide("c_step")).cast("long")
+        hist: dict[int, list[tuple[int, int]]] = {}
+        for r in sub.groupBy("node", bin_.alias("b")).agg(F.sum("w").alias("w")).collect():
+            hist.setdefault(r["node"], []).append((r["b"], r["w"]))
         for c in todo:
-            low, high, before = bounds[c.node]
-            bins = sorted(hist[c.node].items())
-            for b, w in bins:
-                if before + w >= goal[c.node] or b == bins[-1][0]:
+            low, high, under = bounds[c.node]
+            found = sorted(hist[c.node])
+            for b, w in found:
+                if under + w >= goal[c.node] or b == found[-1][0]:
                     break
-                before += w
+                under += w
             low += b * step[c.node]
             if step[c.node] == 1:
-                out[c.node] = (low, before, w)
+                out[c.node] = (low, under, w)
             else:
-                bounds[c.node] = [low, min(high, low + step[c.node] - 1), before]
+                bounds[c.node] = (low, min(high, low + step[c.node] - 1), under)
     return out
 
 
@@ -104,11 +110,8 @@ def _settle(cut: Cut, before: int, at: int) -> int | None:
 
 def _split(rows: DataFrame, cuts: list[Cut]) -> list[Cut]:
     """Fix each cut's place: by value, within equal values by text hash, within equal texts by doc_id."""
-    stages = (
-        ("value", lambda c: F.col(c.dim), lambda c: F.lit(True)),
-        ("hash", lambda c: F.col("h"), lambda c: F.col(c.dim) == c.value),
-        ("doc", lambda c: F.col("id"), lambda c: (F.col(c.dim) == c.value) & (F.col("h") == c.hash)),
-    )
+    here = F.col("v") == F.col("c_value")
+    stages = (("value", F.col("v"), F.lit(True)), ("hash", F.col("h"), here), ("doc", F.col("id"), here & (F.col("h") == F.col("c_hash"))))
     left = {c.node: c for c in cuts}
     for name, key, where in stages:
         if not left:
@@ -146,13 +149,14 @@ def metadata(docs: DataFrame) -> DataFrame:
 
 
 def partition(rows: DataFrame, leaves: int) -> DataFrame:
-    """Add ``shard`` (0 to leaves - 1) to a materialised table with ``w``, ``h``, ``id`` and the dimensions."""
-    rows = rows.withColumn("node", F.lit(0))
+    """Add ``shard`` (0 to leaves - 1) to a materialised table with ``w``, ``h``, ``id`` and the dimensions; each level's nodes are written out."""
+    columns = rows.columns
+    rows = rows.withColumn("node", F.lit(0))  # another frame than the caller's table, which stays
     parts = {0: (0, leaves)}  # node -> first leaf and number of leaves
     span: dict[str, int] = {}
     while todo := {k: v for k, v in parts.items() if v[1] > 1}:
         aggs = [F.sum("w").alias("w"), *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]]
-        got = {r["node"]: r for r in rows.filter(F.col("node").isin(*todo)).groupBy("node").agg(*aggs).collect()}
+        got = {r["node"]: r for r in rows.groupBy("node").agg(*aggs).collect() if r["node"] in todo}
         width = {n: {d: r[f"hi_{d}"] - r[f"lo_{d}"] for d in DIMENSIONS} for n, r in got.items()}
         span = span or (next(iter(width.values())) if width else {})
         cuts = []
@@ -162,10 +166,13 @@ def partition(rows: DataFrame, leaves: int) -> DataFrame:
             cuts.append(Cut(n, dim, r["w"] * (k // 2) / k, r["w"], TOLERANCE / k))
         if not cuts:
             break
-        left = _case(_split(rows, cuts), lambda c: c.below())
         # children are numbered by their first leaf, which the left one shares with its parent
-        second = _case(cuts, lambda c: F.lit(todo[c.node][0] + todo[c.node][1] // 2))
-        rows = rows.withColumn("node", F.when(left, F.col("node")).otherwise(F.coalesce(second, F.col("node"))).cast("int"))
+        second = {c.node: (todo[c.node][0] + todo[c.node][1] // 2, None, None) for c in cuts}
+        settled = _split(rows, cuts)
+        node = F.when(F.col("c_node").isNull() | _goes_left(), F.col("node")).otherwise(F.col("c_lo").cast("int")).alias("node")
+        moved = materialize(_beside(rows, settled, second, "left").select(*columns, node), "nodes")
+        discard(rows)
+        rows = moved
         new = {}
         for n, (first, k) in parts.items():
             new[n] = (first, k // 2 if k > 1 else 1)
