@@ -13,11 +13,11 @@ def _slot(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
 
 
-def rows_of(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``table`` rows whose ``key`` is among the ``id`` of ``ids``.
+def sift(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The ``table`` rows whose ``key`` is among the ``id`` of ``ids``, and some others.
 
     A bitmap of hashed ids, built by a combined aggregate (BITS / 32768 rows of 4 KB), drops most
-    other rows where they are read; the exact join then shuffles the rest.
+    other rows where they are read.
     """
     bits = ids.select(_slot(F.col("id")).alias("s"))
     maps = bits.groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
@@ -25,7 +25,12 @@ def rows_of(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     at = F.bitmap_bit_position(slot)
     near = table.withColumn("_to", F.bitmap_bucket_number(slot)).join(F.broadcast(maps), F.col("_to") == F.col("_bucket"))
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    near = near.filter(F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1).drop("_to", "_bucket", "_bits")
+    return near.filter(F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1).drop("_to", "_bucket", "_bits")
+
+
+def rows_of(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``table`` rows whose ``key`` is among the ``id`` of ``ids``: those that ``sift`` lets through, less the others by an exact join."""
+    near = sift(table, key, ids)
     return near.join(ids.hint("merge"), near[key] == ids["id"], "left_semi")
 
 
@@ -42,3 +47,24 @@ def sample_by_hash(rows: DataFrame, size: int, *key: str) -> DataFrame:
 def below(h: Column, share: float) -> Column:
     """Whether a 64-bit hash is among the least ``share`` of all, as unsigned."""
     return F.shiftrightunsigned(h, 1) < F.lit(min(int(share * 2**63), 2**63 - 1))
+
+
+#: A key with more than this share of the rows is hot; there are at most as many hot keys.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], spread: str, n: str = "n") -> DataFrame:
+    """``rows`` left joined to ``side``, which has one row for each key with ``n``, the number of rows with it.
+
+    ``rows`` must be a materialised table and keys whole numbers.  Rows of hot keys meet their side by a broadcast of at most ``HOT`` rows and are then
+    dealt by ``spread``, so that no task gets all of a key; the others meet it by the shuffle join that follows.
+    """
+    total = rows.count()
+    cols = [c for c in side.columns if c not in (*keys, n)]
+    named = lambda mark: [*[F.col(c).alias(f"_{mark}_{c}") for c in (*keys, *cols)]]
+    hot = F.broadcast(side.filter(F.col(n) * HOT > total).select(*named("hot")))
+    x = rows.join(hot, [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left")
+    first = F.when(F.col(f"_hot_{keys[0]}").isNull(), F.col(keys[0])).otherwise(F.xxhash64(spread, *keys))
+    on = [F.col("_to") == F.col(f"_all_{keys[0]}"), *[F.col(k) == F.col(f"_all_{k}") for k in keys[1:]]]
+    y = x.withColumn("_to", first).join(side.select(*named("all")), on, "left")
+    return y.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_all_{c}").alias(c) for c in cols])

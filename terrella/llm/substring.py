@@ -1,27 +1,31 @@
-"""Substring deduplication by content-defined selection of word windows.
-
-1. Of each text's windows of ``GRAM`` of a passage's words, those with the least hash among the windows of one
-   passage are kept (winnowing).  What is kept depends on the passage alone, so two texts with a passage
-   of ``min_words`` whole words in common keep a window of it in common, however they differ elsewhere.
-2. Every window of ``min_words`` words whose least hash another document kept too is written out with the
-   digest of all its bytes.  Each digest's owner is its first place in (doc_id, position) order.  So a
-   passage's owner has the whole of it, wherever its parts were seen first.
+"""Substring deduplication by content-defined chunks.
+
+1. A gear rolling hash of the last ``GEAR_BYTES`` bytes is taken at the end of each word.  A cut is where it is least among some
+   ``Rule.reach`` words in a row; from each cut a chunk goes on to the word, between ``Rule.least`` and ``Rule.least + Rule.slack``
+   words later, where the hash is least again.  So chunks vary in length and depend on the words around their cut alone: an insertion changes
+   only chunks it touches, and two texts with a passage of ``min_words`` whole words in common have a chunk of it in
+   common, however they differ elsewhere.  Chunks are deduplicated by the digest of their bytes.
+2. Every window of ``min_words`` words is led by the chunk at its own cut.  If that chunk's digest stands in
+   several documents, the window is written out with the digest of all its bytes.  Each digest's owner is its first place in
+   (doc_id, position) order.  So a passage's owner has the whole of it, wherever its parts were seen first.
 3. Documents are compared with their windows' owners: both whole texts along the windows' distance,
    and every maximal equal stretch of at least ``min_words`` whole words is a repeat.  A distance whose windows
    all lie in stretches already found with that owner adds nothing and is left out.
 
 So a repeat is exact and never chance agreement of digests, every window that an earlier document has lies in a repeat, and the
-first place of a passage stays.  Hot digests are combined to one owner before the shuffle; the join back
-splits the other side.
+first place of a passage stays.  Hot digests are combined to one owner before the shuffle; rows go back to
+hot owners by a bounded broadcast (``sift.join_hot``), and only rows of shared digests are moved at all.
 
-Defined results: null and empty texts have no windows; rows with a null doc_id are neither owners nor repeats; repeated
+Defined results: null and empty texts have no chunks; rows with a null doc_id are neither owners nor repeats; repeated
 rows of one doc_id are no repeats of each other; repeats inside one document are left alone.  Passages are whole words of both
 texts; a stretch may begin or end inside a longer word of the owner, but one that is long enough only with such words is
-found only where its owner is also that of a kept window.
+found only where its owner is also that of a chunk.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,84 +33,87 @@ from pyspark.sql import functions as F
 
 from .blocks import SPACE, Block, blocks, mix64
 from .near_dup import _attach, _own_ids
-from .scratch import materialize
-from .sift import rows_of
-
-#: A chunk ends where ``MASK_BITS`` bits of the rolling hash are zero: 32 bytes on average.
-WINDOW, MASK_BITS = 32, 5
-#: No second bound within so few bytes; a bound at least every so many.
-MIN_GAP, MAX_CHUNK = 8, 256
-MIN_WORDS = 50
-#: The share of a passage's words in the windows that are kept of it.
-GRAM = 0.5
-GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)).astype(np.uint32)
-
-
-def cuts(b: Block) -> np.ndarray:
-    """Ends of chunks in a block, in order; each text's end is among them."""
-    n = len(b.data)
+from .scratch import discard, materialize
+from .sift import join_hot, rows_of, sift
+
+MIN_WORDS, FEWEST_WORDS = 50, 24
+#: What the rolling hash looks back on: so many bytes are at most half as many words.
+GEAR_BYTES = 16
+GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(48)).astype(np.uint16)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """How chunks are cut for passages of some words: ``skip + reach + least + slack`` words hold a cut, its chunk and what decides on both."""
+
+    skip: int  # words at a passage's begin whose hash looks at what is before it
+    reach: int
+    least: int
+    slack: int
+
+    @staticmethod
+    def of(min_words: int) -> Rule:
+        if min_words < FEWEST_WORDS:
+            raise ValueError(f"passages need at least {FEWEST_WORDS} words")
+        skip, least = GEAR_BYTES // 2 + 1, min_words // 4  # one word more, as the first may be part of a longer one elsewhere
+        free = min_words - skip - least
+        return Rule(skip, free * 2 // 3, least, free - free * 2 // 3)
+
+
+def gear(b: Block) -> np.ndarray:
+    """The rolling hash at each byte of a block; a text's hashes are free of its neighbours'."""
     size = np.diff(b.offsets)
-    # zeros before each text keep its hashes free of its neighbours
-    place = np.arange(n) + WINDOW * (1 + np.repeat(np.arange(b.n), size))
-    h = np.zeros(n + WINDOW * (b.n + 1), np.uint32)
+    place = np.arange(len(b.data)) + GEAR_BYTES * (1 + np.repeat(np.arange(b.n), size))
+    h = np.zeros(len(b.data) + GEAR_BYTES * (b.n + 1), np.uint16)
     h[place] = GEAR[b.data]
     shift = 1
-    while shift < WINDOW:  # sums over twice as many bytes at each step
+    while shift < GEAR_BYTES:  # sums over twice as many bytes at each step
         step = h.copy()
-        step[shift:] += h[:-shift] << np.uint32(shift)
+        step[shift:] += h[:-shift] << np.uint16(shift)
         h, shift = step, 2 * shift
-    follows = np.zeros(n, bool)
-    follows[:-1] = (b.data[1:] & 0xC0) == 0x80  # never inside a character
-    p = np.flatnonzero((h[place] >> np.uint32(32 - MASK_BITS) == 0) & ~follows) + 1
-    doc = np.searchsorted(b.offsets, p - 1, "right") - 1
-    far = np.ones(len(p), bool)
-    far[1:] = (p[1:] - p[:-1] >= MIN_GAP) | (doc[1:] != doc[:-1])
-    ends = np.union1d(p[far], b.offsets[1:][size > 0])
-    gap = np.diff(ends, prepend=0)
-    if len(gap) and gap.max() > MAX_CHUNK:
-        more = [np.arange(e - g + MAX_CHUNK, e, MAX_CHUNK) for e, g in zip(ends[gap > MAX_CHUNK], gap[gap > MAX_CHUNK], strict=True)]
-        ends = np.union1d(ends, np.concatenate(more))
-    return ends
-
-
-def _sliding(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
-    """``f`` over each ``n`` values in a row."""
-    done, out = 1, x
+    return h[place]
+
+
+def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
+    """Where the (first) least of each ``n`` values in a row stands."""
+    out = (x.astype(np.uint64) << np.uint64(40)) + np.arange(len(x), dtype=np.uint64)
+    done = 1
     while done < n:
         step = min(done, n - done)
-        out = f(out[:-step], out[step:])
+        out = np.minimum(out[:-step], out[step:])
         done += step
-    return out
+    return (out & np.uint64((1 << 40) - 1)).astype(np.int64)
 
 
-def _grams(b: Block, i: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int] | None:
-    """Starts and ends of the words of a block's i-th text, the hashes of its short windows and their words; none for a text shorter than a passage."""
+def chunks(b: Block, g: np.ndarray, i: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Starts and ends of the words of a block's i-th text, and for each window of ``min_words`` words (by its first word) its chunk's first and last word and digest; none for a text shorter than a passage."""
     starts, ends, at = b.words
     s, e = starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]]
-    if len(s) < min_words:
+    n = len(s) - min_words + 1
+    if n <= 0:
         return None
-    k = max(1, int(min_words * GRAM))
-    return s, e, b.span_hash(s[: len(s) - k + 1], e[k - 1 :]), k
+    rule, h = Rule.of(min_words), g[e - 1]
+    cut = _sliding_least(h[rule.skip :], rule.reach)[:n] + rule.skip
+    last = rule.skip + rule.least + _sliding_least(h[rule.skip + rule.least :], rule.slack)[cut - rule.skip]
+    first = cut + 1
+    return s, e, first, last, b.span_hash(s[first], e[last])
 
 
-def _winnower(min_words: int):
-    """Rows (doc_id, text) -> the first place of each short window that a text keeps."""
+def _chunker(min_words: int):
+    """Rows (doc_id, text) -> the first place of each chunk of a text."""
 
     def run(batches):
         for batch in batches:
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for b in blocks(batch.column("text")):
+                g = gear(b)
                 out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64))]
                 for i in range(b.n):
-                    if (found := _grams(b, i, min_words)) is None:
+                    if (found := chunks(b, g, i, min_words)) is None:
                         continue
-                    s, _, h, k = found
-                    w = max(1, min_words - k - 1)  # two words less: those at a passage's ends may be parts of words elsewhere
-                    least = _sliding(np.minimum, h, w)
-                    wide = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
-                    kept = np.flatnonzero(h == _sliding(np.maximum, wide, w))
-                    digest, first = np.unique(h[kept], return_index=True)
-                    out.append((np.full(len(digest), docs[b.row + i], np.int64), (s[kept[first]] - b.offsets[i]).astype(np.int32), digest))
+                    s, _, first, _, digest = found
+                    digest, row = np.unique(digest, return_index=True)
+                    out.append((np.full(len(digest), docs[b.row + i], np.int64), (s[first[row]] - b.offsets[i]).astype(np.int32), digest))
                 doc, start, digest = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(digest.view(np.int64))], ["doc_id", "start", "digest"])
 
@@ -114,19 +121,19 @@ def _winnower(min_words: int):
 
 
 def _writer(min_words: int):
-    """Rows (id, text, shared) -> place, bytes and digest of each passage-long window whose least short window is shared."""
+    """Rows (id, text, shared) -> place, bytes and digest of each passage-long window whose chunk is shared."""
 
     def run(batches):
         for batch in batches:
             docs, shared = batch.column("id").to_numpy(), batch.column("shared")
             for b in blocks(batch.column("text")):
+                g = gear(b)
                 out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64))]
                 for i in range(b.n):
-                    if (found := _grams(b, i, min_words)) is None:
+                    if (found := chunks(b, g, i, min_words)) is None:
                         continue
-                    s, e, h, k = found
-                    known = shared[b.row + i].values.to_numpy().view(np.uint64)
-                    p = np.flatnonzero(np.isin(_sliding(np.minimum, h, min_words - k + 1), known))
+                    s, e, _, _, digest = found
+                    p = np.flatnonzero(np.isin(digest, shared[b.row + i].values.to_numpy().view(np.uint64)))
                     s, e = s[p], e[p + min_words - 1]
                     out.append((np.full(len(p), docs[b.row + i], np.int64), (s - b.offsets[i]).astype(np.int32), (e - s).astype(np.int32), b.span_hash(s, e).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc_id", "start", "size", "digest"])
@@ -181,22 +188,27 @@ def _comparer(min_words: int):
 
 
 def _owned(rows: DataFrame) -> DataFrame:
-    """The owner's place of each digest that several documents have."""
+    """The owner's place of each digest that several documents have, and the number of rows with it."""
     first = F.min(F.struct("doc_id", "start")).alias("o")
-    return rows.groupBy("digest").agg(first, F.max("doc_id").alias("last")).filter("last > o.doc_id").select("digest", F.col("o.doc_id").alias("owner_id"), F.col("o.start").alias("owner_start"))
+    found = rows.groupBy("digest").agg(first, F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > o.doc_id")
+    return found.select("digest", F.col("o.doc_id").alias("owner_id"), F.col("o.start").alias("owner_start"), "n")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, owner_id, start, end, owner_start (bytes), n_words of passages that an earlier document (by doc_id) has too."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    kept = materialize(named.mapInArrow(_winnower(min_words), "doc_id long, start int, digest long"), "kept")
-    shared = materialize(kept.join(_owned(kept), "digest"), "shared")
+    found = materialize(named.mapInArrow(_chunker(min_words), "doc_id long, start int, digest long"), "chunks")
+    owned = materialize(_owned(found), "owned")
+    several = materialize(sift(found, "digest", owned.select(F.col("digest").alias("id"))), "several")
+    discard(found)
+    shared = materialize(join_hot(several, owned, ["digest"], "doc_id").filter("owner_id is not null"), "shared")
+    discard(several, owned)
     marks = shared.groupBy("doc_id").agg(F.collect_set("digest").alias("shared"))
     texts = named.withColumnRenamed("doc_id", "id")
     texts = materialize(rows_of(texts, "id", marks.select(F.col("doc_id").alias("id"))), "passages")
     full = texts.join(marks, texts["id"] == marks["doc_id"]).select("id", "text", "shared")
     rows = materialize(full.mapInArrow(_writer(min_words), "doc_id long, start int, size int, digest long"), "windows")
-    hits = rows.join(_owned(rows), "digest").select("doc_id", "start", "size", "owner_id", "owner_start")
+    hits = join_hot(rows, _owned(rows), ["digest"], "doc_id").filter("owner_id is not null").select("doc_id", "start", "size", "owner_id", "owner_start")
     hits = hits.unionByName(shared.select("doc_id", "start", F.lit(1).alias("size"), "owner_id", "owner_start")).filter("doc_id > owner_id")
     hits = hits.groupBy("doc_id", "owner_id", (F.col("start") - F.col("owner_start")).alias("distance")).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
     pairs = materialize(hits.groupBy("doc_id", "owner_id").agg(F.collect_list(F.struct("start", "end", "distance")).alias("hits")), "evidence")

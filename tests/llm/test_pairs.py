@@ -12,7 +12,7 @@ import pytest
 from terrella.llm import near_dup, substring
 from terrella.llm.blocks import blocks, windows
 
-from .fixtures import BASE, SCHEMA, documents, odd, words
+from .fixtures import SCHEMA, documents, odd, words
 
 
 def shingles(text, k):
@@ -147,8 +147,9 @@ def repeats_by_force(rows, n):
     return out
 
 
-def test_repeats_equal_brute_force(spark, sf):
-    docs = documents(spark, sf)
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_repeats_equal_brute_force(spark, scale):
+    docs = documents(spark, f"/root/testdata/sf{scale}")
     want = repeats_by_force([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 50)
     got = substring.repeats(docs, 50).collect()
     texts = {r.doc_id: r.text.encode() for r in docs.collect()}
@@ -216,9 +217,19 @@ def test_every_window_of_an_earlier_document_lies_in_a_repeat(spark):
     assert found > 100 and missed == 0
 
 
-def test_chunk_bounds_resist_insertions():
-    text = (BASE * 8).encode()
-    ends = lambda t: set(substring.cuts(next(iter(blocks(pa.array([t.decode()])))))) if t else set()
-    a, b = ends(text), {e - 5 for e in ends(text[:300] + b"12345" + text[300:])}
-    far = {e for e in a if e > 300 + 64 + substring.MAX_CHUNK}
-    assert far and far <= b
+def test_chunks_resist_insertions_and_every_passage_has_a_chunk_of_its_own():
+    def found(t):
+        b = next(iter(blocks(pa.array([t]))))
+        s, e, first, last, _ = substring.chunks(b, substring.gear(b), 0, 50)
+        assert ((last - first >= 11) & (last - first < 50) & (first > np.arange(len(first))) & (last < np.arange(len(first)) + 49)).all()
+        return {t.encode()[s[x] : e[y]] for x, y in zip(first, last, strict=True)}
+
+    text = " ".join(f"w{i * 7919 % 1009}" for i in range(600))
+    a, b = found(text), found(text[:300] + "12 345" + text[300:])
+    assert len(a - b) <= 8 and len(a & b) > 20
+    rng = np.random.default_rng(8)
+    for _ in range(200):  # one-letter words, and longer ones, amid different neighbours
+        passage = " ".join("abcdefghij"[k] * int(rng.integers(1, 3)) for k in rng.integers(0, 10, 50))
+        one, two = (" ".join("klmnopq"[k] for k in rng.integers(0, 7, 30)) for _ in "ab")
+        both = found(f"{one} {passage} {two}") & found(f"{two}x {passage} {one}")
+        assert any(c.decode() in passage for c in both)
