@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocks, mix64, windows
 from .scratch import materialize, shared_dir
-from .sift import join_hot, rows_of
+from .sift import hot_keys, join_split, rows_of
 
 BANDS = 32
 MISS = 1e-5
@@ -376,7 +376,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     spark: SparkSession = docs.sparkSession
     signed = materialize(signatures(docs, shingle, num, den), "signed")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(filled.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = materialize(filled.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     banded = signed.filter("size(bands) > 0 and doc_id is not null")
     reps = materialize(
         banded.join(classes.select(F.col("rep").alias("doc_id"), "set_lo", "set_hi", "n_shingles"), ["doc_id", "set_lo", "set_hi", "n_shingles"], "left_semi")
@@ -404,8 +404,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
             stars = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
             labels = materialize(components(stars.unionByName(found)), "labels")
 
-    component = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_lo", "set_hi", "n_shingles", "n", F.coalesce("label", "rep").alias("component"))
-    out = join_hot(signed.select("doc_id", "n_shingles", "set_lo", "set_hi"), component, ["set_lo", "set_hi", "n_shingles"], "doc_id")
+    component = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_lo", "set_hi", "n_shingles", F.coalesce("label", "rep").alias("component"))
+    keys = ["set_lo", "set_hi", "n_shingles"]
+    inside = join_split(filled.select("doc_id", *keys), component, keys, hot_keys(filled, keys, ["doc_id"]))
+    out = inside.unionByName(signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", *keys, F.lit(None).cast("long").alias("component")))
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

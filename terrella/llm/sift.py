@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ def _slot(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
 
 
+def _as_words(batches):
+    """Bitmaps as arrays of 64-bit words, which are quicker to look up in."""
+    for batch in batches:
+        maps = batch.column("_bits").to_pylist()
+        words = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(m, "<i8") for m in maps)])
+        ends = np.cumsum([0, *(len(m) // 8 for m in maps)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("_bucket"), pa.ListArray.from_arrays(pa.array(ends), pa.array(words))], ["_bucket", "_words"])
+
+
 def sift(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The ``table`` rows whose ``key`` is among the ``id`` of ``ids``, and some others.
 
@@ -21,11 +32,11 @@ def sift(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """
     bits = ids.select(_slot(F.col("id")).alias("s"))
     maps = bits.groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
+    maps = maps.mapInArrow(_as_words, "_bucket long, _words array<long>")
     slot = _slot(F.col(key))
     at = F.bitmap_bit_position(slot)
     near = table.withColumn("_to", F.bitmap_bucket_number(slot)).join(F.broadcast(maps), F.col("_to") == F.col("_bucket"))
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return near.filter(F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1).drop("_to", "_bucket", "_bits")
+    return near.filter(F.getbit(F.col("_words")[F.shiftright(at, 6).cast("int")], (at % 64).cast("int")) == 1).drop("_to", "_bucket", "_words")
 
 
 def rows_of(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -49,22 +60,28 @@ def below(h: Column, share: float) -> Column:
     return F.shiftrightunsigned(h, 1) < F.lit(min(int(share * 2**63), 2**63 - 1))
 
 
-#: A key with more than this share of the rows is hot; there are at most as many hot keys.
-HOT = 1000
+#: A key with more than this share of the rows is hot; there are at most as many hot keys.  They are looked for in a sample of so many rows' share.
+HOT, SAMPLED = 1000, 64
+
+
+def hot_keys(rows: DataFrame, keys: list[str], spread: list[str]) -> DataFrame | None:
+    """The ``keys`` of a materialised table that many rows bear, at most ``HOT``, from a hash sample of the rows by ``spread``; null if there are none.
+
+    The sample only decides by which join a row meets its side.
+    """
+    counts = rows.filter(below(F.xxhash64(*spread), 1 / SAMPLED)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    least = max(16.0, rows.count() / SAMPLED / HOT)
+    got = counts.filter(F.col("n") > least).orderBy(F.desc("n"), *keys).limit(HOT).collect()
+    return rows.sparkSession.createDataFrame([tuple(r)[: len(keys)] for r in got], rows.select(*keys).schema) if got else None
 
 
-def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], spread: str, n: str = "n") -> DataFrame:
-    """``rows`` left joined to ``side``, which has one row for each key with ``n``, the number of rows with it.
+def join_split(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined to ``side``, which has at most one row for each key: rows of ``hot`` keys by a broadcast of those keys' sides, the others by a shuffle.
 
-    ``rows`` must be a materialised table and keys whole numbers.  Rows of hot keys meet their side by a broadcast of at most ``HOT`` rows and are then
-    dealt by ``spread``, so that no task gets all of a key; the others meet it by the shuffle join that follows.
+    So no task gets all rows of a hot key.
     """
-    total = rows.count()
-    cols = [c for c in side.columns if c not in (*keys, n)]
-    named = lambda mark: [*[F.col(c).alias(f"_{mark}_{c}") for c in (*keys, *cols)]]
-    hot = F.broadcast(side.filter(F.col(n) * HOT > total).select(*named("hot")))
-    x = rows.join(hot, [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left")
-    first = F.when(F.col(f"_hot_{keys[0]}").isNull(), F.col(keys[0])).otherwise(F.xxhash64(spread, *keys))
-    on = [F.col("_to") == F.col(f"_all_{keys[0]}"), *[F.col(k) == F.col(f"_all_{k}") for k in keys[1:]]]
-    y = x.withColumn("_to", first).join(side.select(*named("all")), on, "left")
-    return y.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_all_{c}").alias(c) for c in cols])
+    if hot is None:
+        return rows.join(side, keys)
+    hot = F.broadcast(hot)
+    few = F.broadcast(side.join(hot, keys, "left_semi"))
+    return rows.join(hot, keys, "left_anti").join(side, keys).unionByName(rows.join(few, keys))

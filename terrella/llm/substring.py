@@ -13,13 +13,12 @@
    all lie in stretches already found with that owner adds nothing and is left out.
 
 So a repeat is exact and never chance agreement of digests, every window that an earlier document has lies in a repeat, and the
-first place of a passage stays.  Hot digests are combined to one owner before the shuffle; rows go back to
-hot owners by a bounded broadcast (``sift.join_hot``), and only rows of shared digests are moved at all.
+first place of a passage stays.  Hot digests are combined to one owner before the shuffle; their rows meet the owner by a
+bounded broadcast (``sift.join_split``), and only rows of shared digests are moved at all.
 
 Defined results: null and empty texts have no chunks; rows with a null doc_id are neither owners nor repeats; repeated
 rows of one doc_id are no repeats of each other; repeats inside one document are left alone.  Passages are whole words of both
-texts; a stretch may begin or end inside a longer word of the owner, but one that is long enough only with such words is
-found only where its owner is also that of a chunk.
+texts; a stretch found may begin or end inside a longer word of the owner.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from .blocks import SPACE, Block, blocks, mix64
 from .near_dup import _attach, _own_ids
 from .scratch import discard, materialize
-from .sift import join_hot, rows_of, sift
+from .sift import hot_keys, join_split, rows_of, sift
 
 MIN_WORDS, FEWEST_WORDS = 50, 24
 #: What the rolling hash looks back on: so many bytes are at most half as many words.
@@ -121,22 +120,26 @@ def _chunker(min_words: int):
 
 
 def _writer(min_words: int):
-    """Rows (id, text, shared) -> place, bytes and digest of each passage-long window whose chunk is shared."""
+    """Rows (id, text, shared) -> place, bytes and digest of each passage-long window whose chunk is shared, and whether it is the text's first with that digest."""
+    kinds = (np.int64, np.int32, np.int32, np.int64, np.bool_)
 
     def run(batches):
         for batch in batches:
             docs, shared = batch.column("id").to_numpy(), batch.column("shared")
             for b in blocks(batch.column("text")):
                 g = gear(b)
-                out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+                out: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, k) for k in kinds)]
                 for i in range(b.n):
                     if (found := chunks(b, g, i, min_words)) is None:
                         continue
                     s, e, _, _, digest = found
                     p = np.flatnonzero(np.isin(digest, shared[b.row + i].values.to_numpy().view(np.uint64)))
                     s, e = s[p], e[p + min_words - 1]
-                    out.append((np.full(len(p), docs[b.row + i], np.int64), (s - b.offsets[i]).astype(np.int32), (e - s).astype(np.int32), b.span_hash(s, e).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc_id", "start", "size", "digest"])
+                    h = b.span_hash(s, e).view(np.int64)
+                    first = np.zeros(len(p), bool)
+                    first[np.unique(h, return_index=True)[1]] = True
+                    out.append((np.full(len(p), docs[b.row + i], np.int64), (s - b.offsets[i]).astype(np.int32), (e - s).astype(np.int32), h, first))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc_id", "start", "size", "digest", "first"])
 
     return run
 
@@ -188,30 +191,37 @@ def _comparer(min_words: int):
 
 
 def _owned(rows: DataFrame) -> DataFrame:
-    """The owner's place of each digest that several documents have, and the number of rows with it."""
-    first = F.min(F.struct("doc_id", "start")).alias("o")
-    found = rows.groupBy("digest").agg(first, F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > o.doc_id")
-    return found.select("digest", F.col("o.doc_id").alias("owner_id"), F.col("o.start").alias("owner_start"), "n")
+    """The owner's place of each digest that several documents have; ``rows`` bear ``first`` at a document's first place of a digest.
+
+    Aggregates of numbers alone, which combine in hash tables.
+    """
+    at = F.min_by(F.when(F.col("first"), F.col("start")), F.when(F.col("first"), F.col("doc_id")))
+    found = rows.groupBy("digest").agg(F.min("doc_id").alias("owner_id"), at.alias("owner_start"), F.max("doc_id").alias("last"))
+    return found.filter("last > owner_id").select("digest", "owner_id", "owner_start")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, owner_id, start, end, owner_start (bytes), n_words of passages that an earlier document (by doc_id) has too."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     found = materialize(named.mapInArrow(_chunker(min_words), "doc_id long, start int, digest long"), "chunks")
-    owned = materialize(_owned(found), "owned")
-    several = materialize(sift(found, "digest", owned.select(F.col("digest").alias("id"))), "several")
+    known = found.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("digest")
+    known = materialize(known, "known")
+    several = materialize(sift(found, "digest", known.select(F.col("digest").alias("id"))), "several")
     discard(found)
-    shared = materialize(join_hot(several, owned, ["digest"], "doc_id").filter("owner_id is not null"), "shared")
-    discard(several, owned)
-    marks = shared.groupBy("doc_id").agg(F.collect_set("digest").alias("shared"))
-    texts = named.withColumnRenamed("doc_id", "id")
-    texts = materialize(rows_of(texts, "id", marks.select(F.col("doc_id").alias("id"))), "passages")
-    full = texts.join(marks, texts["id"] == marks["doc_id"]).select("id", "text", "shared")
-    rows = materialize(full.mapInArrow(_writer(min_words), "doc_id long, start int, size int, digest long"), "windows")
-    hits = join_hot(rows, _owned(rows), ["digest"], "doc_id").filter("owner_id is not null").select("doc_id", "start", "size", "owner_id", "owner_start")
-    hits = hits.unionByName(shared.select("doc_id", "start", F.lit(1).alias("size"), "owner_id", "owner_start")).filter("doc_id > owner_id")
+    shared = join_split(several, known, ["digest"], hot_keys(several, ["digest"], ["doc_id", "start"]))
+    marks = materialize(shared.groupBy("doc_id").agg(F.collect_list("digest").alias("shared")), "marks")
+    discard(several, known)
+    # marks take a fraction of the texts' bytes, so their hash table fits where texts would have to be sorted
+    full = sift(named, "doc_id", marks.select(F.col("doc_id").alias("id"))).join(marks.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("id"), "text", "shared")
+    rows = materialize(full.mapInArrow(_writer(min_words), "doc_id long, start int, size int, digest long, first boolean"), "windows")
+    owned = materialize(_owned(rows), "owned")
+    held = materialize(sift(rows, "digest", owned.select(F.col("digest").alias("id"))).drop("first"), "held")
+    discard(rows, marks)
+    hits = join_split(held, owned, ["digest"], hot_keys(held, ["digest"], ["doc_id", "start"])).filter("doc_id > owner_id")
     hits = hits.groupBy("doc_id", "owner_id", (F.col("start") - F.col("owner_start")).alias("distance")).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
     pairs = materialize(hits.groupBy("doc_id", "owner_id").agg(F.collect_list(F.struct("start", "end", "distance")).alias("hits")), "evidence")
+    both = pairs.select(F.explode(F.array("doc_id", "owner_id")).alias("id")).distinct()
+    texts = materialize(rows_of(named.withColumnRenamed("doc_id", "id"), "id", both), "passages")
     full = _attach(pairs, "owner_id", texts, {"text": "tb"}, "doc_id")
     full = full.join(texts.select(F.col("id").alias("doc_id"), F.col("text").alias("ta")), "doc_id").select("doc_id", "owner_id", "hits", "ta", "tb")
     kind = "doc_id long, owner_id long, start long, end long, owner_start long, n_words long"
