@@ -56,5 +56,16 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 
 
+def free_numbers(table: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` lowest numbers from 1 that no row has, as ``free``.
+
+    Each of them is one of the first ``n`` or at most ``n`` above a number used: so candidates follow the rows, however high their numbers are.
+    """
+    used = table.select(F.col(key).cast("long").alias("free")).filter("free > 0").distinct()
+    after = used.select(F.explode(F.sequence(F.col("free") + 1, F.col("free") + n)).alias("free"))
+    first = table.sparkSession.range(1, n + 1).toDF("free")
+    return after.unionByName(first).distinct().join(used, "free", "left_anti").orderBy("free").limit(n)
+
+
 def next_id(table: DataFrame, key: str) -> DataFrame:
     return table.agg(F.coalesce(F.max(key) + 1, F.lit(1).cast("long")).alias("next_id"))

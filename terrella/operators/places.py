@@ -59,7 +59,12 @@ def near_lines(points: DataFrame, vertices: DataFrame, width: float, bin_size: f
 
     w = along()
     s = vertices.select("line", "seq", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).filter("x1 is not null")
+    # segments beyond the points' own extent meet none of them; the extent is one row
+    extent = points.agg(F.min("px").alias("_x0"), F.max("px").alias("_x1"), F.min("py").alias("_y0"), F.max("py").alias("_y1"))
     s = s.withColumns({"bx0": F.least("x0", "x1") - width, "bx1": F.greatest("x0", "x1") + width, "by0": F.least("y0", "y1") - width, "by1": F.greatest("y0", "y1") + width})
+    s = s.join(F.broadcast(extent), (F.col("bx0") <= F.col("_x1")) & (F.col("bx1") >= F.col("_x0")) & (F.col("by0") <= F.col("_y1")) & (F.col("by1") >= F.col("_y0")))
+    # boxes are cut to the extent, which keeps every pair and the bins few
+    s = s.withColumns({"bx0": F.greatest("bx0", "_x0"), "bx1": F.least("bx1", "_x1"), "by0": F.greatest("by0", "_y0"), "by1": F.least("by1", "_y1")}).drop("_x0", "_x1", "_y0", "_y1")
     q = points.withColumns({"qx": F.col("px"), "qy": F.col("py")})
     j = box_join(q, s, bin_size, ("px", "qx", "py", "qy"), ("bx0", "bx1", "by0", "by1"))
     d = nearest_point_on(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))

@@ -112,14 +112,16 @@ def boxes(df: DataFrame, line: str = "line") -> DataFrame:
 
 
 def centroid(df: DataFrame, ring: str = "line") -> DataFrame:
-    """Area and centroid of closed rings, by signed cross products; null centroid for rings without area."""
+    """Area and centroid of closed rings, by signed cross products about each ring's lower left corner, so that little cancels; null centroid for rings without area."""
     w = along(ring)
+    corner = whole(ring)
+    df = df.withColumns({"_ox": F.min("x").over(corner), "_oy": F.min("y").over(corner)}).withColumns({"x": F.col("x") - F.col("_ox"), "y": F.col("y") - F.col("_oy")})
     first = lambda c: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     nx, ny = F.coalesce(F.lead("x").over(w), first("x")), F.coalesce(F.lead("y").over(w), first("y"))
     e = df.withColumns({"_nx": nx, "_ny": ny}).withColumn("_c", F.col("x") * F.col("_ny") - F.col("_nx") * F.col("y"))
-    a = e.groupBy(ring).agg(F.sum("_c").alias("a2"), F.sum((F.col("x") + F.col("_nx")) * F.col("_c")).alias("cx"), F.sum((F.col("y") + F.col("_ny")) * F.col("_c")).alias("cy"))
-    part = lambda c: F.when(F.col("a2") != 0, F.col(c) / (3 * F.col("a2")))
-    return a.select(ring, (F.abs("a2") / 2).alias("area"), part("cx").alias("x"), part("cy").alias("y"))
+    a = e.groupBy(ring, "_ox", "_oy").agg(F.sum("_c").alias("a2"), F.sum((F.col("x") + F.col("_nx")) * F.col("_c")).alias("cx"), F.sum((F.col("y") + F.col("_ny")) * F.col("_c")).alias("cy"))
+    part = lambda c, o: F.when(F.col("a2") != 0, F.col(o) + F.col(c) / (3 * F.col("a2")))
+    return a.select(ring, (F.abs("a2") / 2).alias("area"), part("cx", "_ox").alias("x"), part("cy", "_oy").alias("y"))
 
 
 def inside(points: DataFrame, ring: DataFrame, key: str = "line") -> DataFrame:

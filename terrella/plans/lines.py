@@ -60,12 +60,12 @@ def river_offsets(p):
     return polyline.arclength(p.vertex).select("line", "seq", r(scalar.clamp(bands, -220.0, 220.0) * polyline.taper_by_length(s, 180.0), "o", 4))
 
 
-@query("vertex", f"""WITH n AS (SELECT line, seq, x, y, lead(x) OVER {_W} AS nx, lead(y) OVER {_W} AS ny FROM vertex WHERE line < 40),
+@query("vertex", f"""WITH n AS (SELECT line, seq, x, y, lead(x) OVER {_W} AS nx, lead(y) OVER {_W} AS ny FROM vertex),
 m AS (SELECT *, CAST(coalesce(greatest(ceil(sqrt(pow(nx - x, 2) + pow(ny - y, 2)) / 4000), 1), 1) AS INTEGER) AS n FROM n)
 SELECT line, seq, CAST(k AS INTEGER) AS part, round(CASE WHEN nx IS NULL THEN x ELSE x + (nx - x) * (k / CAST(n AS DOUBLE)) END, 3) AS x, round(CASE WHEN nx IS NULL THEN y ELSE y + (ny - y) * (k / CAST(n AS DOUBLE)) END, 3) AS y
 FROM m, unnest(range(n)) t(k)""")
 def densify(p):
-    d = polyline.densify(p.vertex.filter("line < 40"), 4000.0)
+    d = polyline.densify(p.vertex, 4000.0)
     return d.select("line", "seq", "part", r(F.col("x"), "x"), r(F.col("y"), "y"))
 
 
@@ -119,7 +119,7 @@ def ferry_dash(p):
     return x.select("line", "seq", (F.col("on") & F.coalesce(F.lead("on").over(polyline.along()), F.lit(False))).alias("dash"))
 
 
-_BEARING = f"""WITH b AS (SELECT line, seq, CAST(k AS INTEGER) AS k, {h_sql('round(x + 520 * cos(k * pi() / 4))', 'round(y + 520 * sin(k * pi() / 4))', '2')} AS w FROM vertex, unnest(range(8)) t(k) WHERE line < 60),
+_BEARING = f"""WITH b AS (SELECT line, seq, CAST(k AS INTEGER) AS k, {h_sql('round(x + 520 * cos(k * pi() / 4))', 'round(y + 520 * sin(k * pi() / 4))', '2')} AS w FROM vertex, unnest(range(8)) t(k)),
 n AS (SELECT *, row_number() OVER (PARTITION BY line, seq ORDER BY w DESC, k) AS r FROM b)"""
 
 
@@ -129,7 +129,7 @@ def best_bearing(p):
     import math
 
     k = F.col("k")
-    b = p.vertex.filter("line < 60").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    b = p.vertex.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
     x, y = F.round(F.col("x") + 520 * F.cos(k * math.pi / 4)), F.round(F.col("y") + 520 * F.sin(k * math.pi / 4))
     return joins.first_per(b.withColumn("w", h6(x, y, 2)), ["line", "seq"], [F.desc("w"), k]).select("line", "seq", "k", "w")
 
@@ -139,17 +139,18 @@ def feature_bbox(p):
     return polyline.boxes(p.vertex)
 
 
-_BOX = """WITH a AS (SELECT line, CAST(floor(CAST(seq AS DOUBLE) / 5) AS BIGINT) AS part, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM vertex GROUP BY 1, 2),
-t AS (SELECT event_id AS tile, CAST(event_id * 37 AS DOUBLE) - 400 AS x0, CAST(event_id * 37 AS DOUBLE) + 400 AS x1, value * 100 - 300 AS y0, value * 100 + 300 AS y1 FROM events WHERE event_id % 50 = 0)"""
+_BOX = """WITH a AS (SELECT CAST(floor(x / 185) AS BIGINT) AS part, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM vertex GROUP BY 1),
+t AS (SELECT event_id AS tile, CAST(event_id * 37 AS DOUBLE) - 400 AS x0, CAST(event_id * 37 AS DOUBLE) + 400 AS x1, value * 100 - 300 AS y0, value * 100 + 300 AS y1 FROM events)"""
 
 
-@query("vertex", _BOX + " SELECT tile, line, part FROM a JOIN t ON xmin <= x1 AND xmax >= x0 AND ymin <= y1 AND ymax >= y0")
+@query("vertex", _BOX + " SELECT tile, part FROM a JOIN t ON xmin <= x1 AND xmax >= x0 AND ymin <= y1 AND ymax >= y0")
 def bbox_overlap_join(p):
-    part = F.floor(F.col("seq") / 5).cast("long")
-    a = p.vertex.groupBy("line", part.alias("part")).agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
+    """The box of each run of vertices against each tile's box."""
+    part = F.floor(F.col("x") / 185).cast("long")
+    a = p.vertex.groupBy(part.alias("part")).agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
     x, y = (F.col("event_id") * 37).cast("double"), F.col("value") * 100
-    t = p.events.filter("event_id % 50 = 0").select(F.col("event_id").alias("tile"), (x - 400).alias("x0"), (x + 400).alias("x1"), (y - 300).alias("y0"), (y + 300).alias("y1"))
-    return joins.box_join(a, t, 20000.0, ("xmin", "xmax", "ymin", "ymax"), ("x0", "x1", "y0", "y1")).select("tile", "line", "part")
+    t = p.events.select(F.col("event_id").alias("tile"), (x - 400).alias("x0"), (x + 400).alias("x1"), (y - 300).alias("y0"), (y + 300).alias("y1"))
+    return joins.box_join(a, t, 2000.0, ("xmin", "xmax", "ymin", "ymax"), ("x0", "x1", "y0", "y1")).select("tile", "part")
 
 
 @query("settlement sacred", """SELECT s.id, t.site_id FROM settlement s JOIN sacred t ON s.lon + 3 >= t.lon - tier AND s.lon - 3 <= t.lon + tier AND s.lat + 3 >= t.lat - tier AND s.lat - 3 <= t.lat + tier""")
@@ -165,8 +166,9 @@ SELECT site_id, id, round(km, 4) AS km FROM n WHERE r = 1""")
 def nearest_within(p):
     """The nearest settlement of each greater site, not too near and not too far."""
     s = p.settlement.select("id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    close = joins.near_join(p.sacred.filter("tier >= 4").select("site_id", "lon", "lat"), s, 2000.0, ("lon", "lat"), ("lon2", "lat2")).filter("km > 30")
-    return joins.first_per(close, ["site_id"], [F.col("km"), F.col("id")]).select("site_id", "id", F.round("km", 4).alias("km"))
+    sites = p.sacred.filter("tier >= 4").select("site_id", "lon", "lat")
+    near = joins.nearest_in_rings(sites, s, "site_id", "id", (125.0, 500.0, 2000.0), ("lon", "lat"), ("lon2", "lat2"), least=30.0)
+    return near.select("site_id", "id", F.round("km", 4).alias("km"))
 
 
 @query("cell", """WITH o AS (SELECT * FROM (VALUES (0,-1,-1),(1,-1,0),(2,-1,1),(3,0,-1),(4,0,1),(5,1,-1),(6,1,0),(7,1,1)) v(k, dr, dc)),
@@ -182,7 +184,7 @@ def node_degree(p):
     return network.degrees(p.node_edge)
 
 
-_EDGES = """edges AS (SELECT event_id AS edge, event_id AS src, event_id + CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END AS dst, CAST(floor(value * 1000) AS BIGINT) AS flow FROM events WHERE event_id < 400 AND event_id % 5 <> 3),
+_EDGES = """edges AS (SELECT event_id AS edge, event_id AS src, event_id + CASE WHEN event_id % 5 = 3 THEN 1000000000 WHEN event_id % 7 = 0 THEN 2 ELSE 1 END AS dst, CAST(floor(value * 1000) AS BIGINT) AS flow FROM events),
 ends AS (SELECT edge, src AS node FROM edges UNION ALL SELECT edge, dst FROM edges),
 link AS (SELECT min(edge) AS a, max(edge) AS b FROM ends GROUP BY node HAVING count(*) = 2 AND min(edge) <> max(edge)),
 both_ AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
@@ -191,15 +193,16 @@ chain AS (SELECT edge, min(other) AS chain FROM reach GROUP BY edge)"""
 
 
 def river_edges(p):
+    """Every event as a segment to the next node, the next but one, or a mouth of its own."""
     e = F.col("event_id")
-    return p.events.filter("event_id < 400 and event_id % 5 <> 3").select(
-        e.alias("edge"), e.alias("src"), (e + F.when(e % 7 == 0, 2).otherwise(1)).alias("dst"), F.floor(F.col("value") * 1000).cast("long").alias("flow")
+    return p.events.select(
+        e.alias("edge"), e.alias("src"), (e + F.when(e % 5 == 3, 1000000000).when(e % 7 == 0, 2).otherwise(1)).alias("dst"), F.floor(F.col("value") * 1000).cast("long").alias("flow")
     )
 
 
 @query("", "WITH RECURSIVE " + _EDGES + " SELECT edge, src, dst, chain FROM edges JOIN chain USING (edge)")
 def chain_ids(p):
-    """Segments chained through nodes of degree 2; the feature is the limit on the network, a named part of the rivers."""
+    """Segments chained through nodes of degree 2."""
     return network.chains(river_edges(p)).select("edge", "src", "dst", "chain")
 
 
@@ -209,11 +212,14 @@ def chain_max_flow(p):
 
 
 @query("vertex", f"""WITH e AS (SELECT line, x, y, coalesce(lead(x) OVER {_W}, first(x) OVER {_W}) AS nx, coalesce(lead(y) OVER {_W}, first(y) OVER {_W}) AS ny FROM vertex),
-a AS (SELECT line, sum(x * ny - nx * y) AS a2, sum((x + nx) * (x * ny - nx * y)) AS cx, sum((y + ny) * (x * ny - nx * y)) AS cy FROM e GROUP BY line)
-SELECT line, round(abs(a2) / 2, 0) AS area FROM a WHERE a2 <> 0""")
+o AS (SELECT line, min(x) AS ox, min(y) AS oy FROM vertex GROUP BY line),
+q AS (SELECT line, ox, oy, x - ox AS x, y - oy AS y, nx - ox AS nx, ny - oy AS ny FROM e JOIN o USING (line)),
+a AS (SELECT line, ox, oy, sum(x * ny - nx * y) AS a2, sum((x + nx) * (x * ny - nx * y)) AS cx, sum((y + ny) * (x * ny - nx * y)) AS cy FROM q GROUP BY line, ox, oy)
+SELECT line, round(abs(a2) / 2, 0) AS area, round(ox + cx / (3 * a2), 0) AS x, round(oy + cy / (3 * a2), 0) AS y FROM a WHERE abs(a2) > 2000000""")
 def centroid_label(p):
-    """Areas of the closed lines; their centroids are tested on small rings, where sums do not cancel."""
-    return polyline.centroid(p.vertex).filter("area > 0").select("line", F.round("area", 0).alias("area"))
+    """Area and centroid of the closed lines, but for those that cancel to nearly no area."""
+    c = polyline.centroid(p.vertex).filter("area > 1000000")
+    return c.select("line", r(F.col("area"), "area", 0), r(F.col("x"), "x", 0), r(F.col("y"), "y", 0))
 
 
 

@@ -80,7 +80,7 @@ def sacred_influence(p):
 
 
 _SEG = """WITH seg AS (SELECT line, seq, x / 300 AS x0, y / 900 AS y0, lead(x / 300) OVER w AS x1, lead(y / 900) OVER w AS y1 FROM vertex WINDOW w AS (PARTITION BY line ORDER BY seq)),
-s AS (SELECT *, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS l2 FROM seg WHERE x1 IS NOT NULL AND line < 30),
+s AS (SELECT *, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS l2 FROM seg WHERE x1 IS NOT NULL),
 t AS (SELECT c.row, c.col, s.*, CASE WHEN l2 > 0 THEN greatest(least(((c.col - x0) * (x1 - x0) + (c.row - y0) * (y1 - y0)) / l2, 1.0), 0.0) ELSE 0.0 END AS t FROM cell c JOIN s
   ON c.col >= least(x0, x1) - {w} AND c.col <= greatest(x0, x1) + {w} AND c.row >= least(y0, y1) - {w} AND c.row <= greatest(y0, y1) + {w}),
 m AS (SELECT row, col, line, min(sqrt(pow(col - x0 - t * (x1 - x0), 2) + pow(row - y0 - t * (y1 - y0), 2))) AS d FROM t GROUP BY row, col, line)"""
@@ -88,7 +88,7 @@ m AS (SELECT row, col, line, min(sqrt(pow(col - x0 - t * (x1 - x0), 2) + pow(row
 
 def line_distances(p, width):
     """Cells within ``width`` of a line, with the distance to it."""
-    v = p.vertex.filter("line < 30").select("line", "seq", (F.col("x") / 300).alias("x"), (F.col("y") / 900).alias("y"))
+    v = p.vertex.select("line", "seq", (F.col("x") / 300).alias("x"), (F.col("y") / 900).alias("y"))
     cells = p.cell.select("row", "col", F.col("col").cast("double").alias("px"), F.col("row").cast("double").alias("py"))
     return places.near_lines(cells, v, width, 8.0)
 
@@ -177,17 +177,17 @@ def wall_towers(p):
     return places.towers(places.radii(p.settlement)).select("id", "k", r(F.col("dx"), "dx", 3), r(F.col("dy"), "dy", 3))
 
 
-@query("settlement", f"""WITH {_RADII}, s AS (SELECT id, is_port, rc / 34 AS reach, CAST(floor(lon * 100) AS BIGINT) AS ci, CAST(floor(lat * 100) AS BIGINT) AS cj, 1 / infl AS cosl FROM radii WHERE id % 10 = 0),
+@query("settlement", f"""WITH {_RADII}, s AS (SELECT id, is_port, rc / 34 AS reach, CAST(floor(lon * 100) AS BIGINT) AS ci, CAST(floor(lat * 100) AS BIGINT) AS cj, 1 / infl AS cosl FROM radii),
 g AS (SELECT id, ci + i AS i, cj + j AS j, sqrt(CAST(i * i + j * j AS DOUBLE)) / 4 AS d, cosl FROM s, unnest(range(-3, 4)) a(i), unnest(range(-3, 4)) b(j))
-SELECT id, i, j, round(0.8 + 0.5 * {h_sql('i', 'j', '6')}, 5) AS tint FROM g WHERE {h_sql('i', 'j', '3')} < round(0.35 * pow(greatest(1 - d, 0.0), 2.2) * cosl + CASE WHEN d < 0.92 THEN 0.006 ELSE 0.0 END, 6)""")
+SELECT id, i, j, round(0.8 + 0.5 * {h_sql('i', 'j', '6')}, 7) AS tint FROM g WHERE {h_sql('i', 'j', '3')} < round(0.35 * pow(greatest(1 - d, 0.0), 2.2) * cosl + CASE WHEN d < 0.92 THEN 0.006 ELSE 0.0 END, 6)""")
 def building_lattice(p):
-    """Sites of a lattice around each tenth settlement (the feature's own choice of places), kept by hash against density."""
-    s = places.radii(p.settlement.filter("id % 10 = 0"))
+    """Sites of a lattice around each settlement, kept by hash against density."""
+    s = places.radii(p.settlement)
     off = F.sequence(F.lit(-3), F.lit(3))
     s = s.select("id", F.floor(F.col("lon") * 100).alias("ci"), F.floor(F.col("lat") * 100).alias("cj"), (1 / F.col("infl")).alias("cosl"), F.explode(off).alias("di")).select("*", F.explode(off).alias("dj"))
     s = s.withColumns({"i": F.col("ci") + F.col("di"), "j": F.col("cj") + F.col("dj"), "d": F.sqrt((F.col("di") * F.col("di") + F.col("dj") * F.col("dj")).cast("double")) / 4})
     keep = F.round(0.35 * F.pow(F.greatest(1 - F.col("d"), F.lit(0.0)), 2.2) * F.col("cosl") + F.when(F.col("d") < 0.92, 0.006).otherwise(0.0), 6)
-    return s.filter(h6(F.col("i"), F.col("j"), 3) < keep).select("id", "i", "j", r(0.8 + 0.5 * h6(F.col("i"), F.col("j"), 6), "tint", 5))
+    return s.filter(h6(F.col("i"), F.col("j"), 3) < keep).select("id", "i", "j", r(0.8 + 0.5 * h6(F.col("i"), F.col("j"), 6), "tint", 7))
 
 
 @query("settlement", f"""WITH m AS (SELECT id, CAST(k AS INTEGER) AS k, CAST(s AS INTEGER) AS step FROM settlement, unnest(range(8)) a(k), unnest(range(1, 21)) b(s) WHERE is_port AND {h_sql('id * 8 + k', 's', '17')} >= 0.85),

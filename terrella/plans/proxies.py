@@ -38,7 +38,7 @@ SELECT CASE WHEN p_partkey % 10 >= 8 THEN p_partkey + 1000000 ELSE p_partkey END
   CASE WHEN p_partkey % 10 = 9 THEN NULL ELSE {_LON.format(k='p_partkey')} + CASE p_partkey % 4 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST('0.3' AS DOUBLE) WHEN 2 THEN CAST(9 AS DOUBLE) ELSE CAST('0.05' AS DOUBLE) END END AS lon,
   CASE WHEN p_partkey % 10 = 9 THEN NULL ELSE {_LAT.format(k='p_partkey')} END AS lat,
   p_partkey AS key
-FROM part WHERE p_partkey < 200"""),
+FROM part"""),
     "feature": (["documents", "labels"], """
 SELECT d.doc_id AS feature_id,
   CASE d.doc_id % 9 WHEN 0 THEN 'road' WHEN 1 THEN 'trail' WHEN 2 THEN 'river' WHEN 3 THEN 'forest' WHEN 4 THEN 'lake' WHEN 5 THEN 'mountain' WHEN 6 THEN 'region' WHEN 7 THEN 'label' ELSE 'poi' END AS type,

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import joins, overrides
+from ..operators import joins, overrides, ranks
 from .registry import query
 from .scalars import _TILE, tile_requests
 
@@ -17,8 +17,8 @@ _KM = "round(2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(c.lat - o.lat) / 2)
 def continent_rank(p):
     """Rank by population within the continent, ids deciding ties."""
     home = F.coalesce(F.nullif("continent", F.lit("")), F.lit("_unassigned"))
-    w = Window.partitionBy(home).orderBy(F.col("pop").desc_nulls_last(), "id")
-    return p.settlement.select("id", "continent", F.row_number().over(w).alias("continent_rank"))
+    s = p.settlement.select("id", "continent", "pop", home.alias("home"))
+    return ranks.ranked(s, "home", "pop", "id", "continent_rank").select("id", "continent", "continent_rank")
 
 
 @query("manifest_a manifest_b", """SELECT coalesce(a.id, b.id) AS id, a.seconds AS seconds_a, b.seconds AS seconds_b, a.status AS status_a, b.status AS status_b,
@@ -46,8 +46,7 @@ def top_city(p):
 WHERE n = CAST(ceil(CAST(c AS DOUBLE) / 2) AS BIGINT)""")
 def median_pick(p):
     """The row in the middle of each continent's order."""
-    w = Window.partitionBy("continent")
-    s = p.settlement.filter("pop > 0").withColumn("n", F.row_number().over(w.orderBy(F.desc("pop"), "id"))).withColumn("c", F.count(F.lit(1)).over(w))
+    s = ranks.ranked(p.settlement.filter("pop > 0").select("continent", "id", "pop"), "continent", "pop", "id", "n", total="c")
     return s.filter(F.col("n") == F.ceil(F.col("c") / 2)).select("continent", "id", "pop")
 
 
@@ -95,13 +94,14 @@ def override_normalise(p):
     return overrides.normalise(raw)
 
 
-_UPSERT = """WITH base AS (SELECT key, name, population FROM override WHERE key < 150), changed AS (SELECT key, coalesce(name, 'renamed') AS name, population * 2 AS population FROM override WHERE key % 3 = 0)"""
+_UPSERT = """WITH base AS (SELECT key, name, population FROM override WHERE name IS NOT NULL), changed AS (SELECT key, coalesce(name, 'renamed') AS name, population * 2 AS population FROM override WHERE population IS NOT NULL)"""
 
 
 @query("override", _UPSERT + " SELECT * FROM base WHERE key NOT IN (SELECT key FROM changed) UNION ALL SELECT * FROM changed")
 def override_upsert(p):
-    base = p.override.filter("key < 150").select("key", "name", "population")
-    changed = p.override.filter("key % 3 = 0").select("key", F.coalesce("name", F.lit("renamed")).alias("name"), (F.col("population") * 2).alias("population"))
+    """Named overrides, with those that give a population changed or added."""
+    base = p.override.filter("name is not null").select("key", "name", "population")
+    changed = p.override.filter("population is not null").select("key", F.coalesce("name", F.lit("renamed")).alias("name"), (F.col("population") * 2).alias("population"))
     return overrides.upsert(base, changed, "key")
 
 
@@ -155,11 +155,10 @@ def withheld_anti(p):
     return p.settlement.filter("inkarnate is not null").join(linked, "id", "left_anti").select("id", "inkarnate")
 
 
-@query("override", "SELECT CAST(g AS BIGINT) AS free FROM range(1, 400) t(g) WHERE g NOT IN (SELECT settlement_id FROM override) ORDER BY g LIMIT 12")
+@query("override", "SELECT CAST(g AS BIGINT) AS free FROM range(1, 13 + (SELECT max(settlement_id) FROM override)) t(g) WHERE g NOT IN (SELECT settlement_id FROM override) ORDER BY g LIMIT 12")
 def free_ids(p):
-    """The twelve lowest free numbers."""
-    used = p.override.select(F.col("settlement_id").alias("free"))
-    return p.spark.range(1, 400).withColumnRenamed("id", "free").join(used, "free", "left_anti").orderBy("free").limit(12)
+    """The twelve lowest free numbers, from 1."""
+    return overrides.free_numbers(p.override, "settlement_id", 12)
 
 
 @query("settlement", "SELECT id, name, CAST(NULL AS VARCHAR) AS notes, coalesce(inkarnate, '') AS inkarnate FROM settlement")
