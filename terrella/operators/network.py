@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 # Fixed order of the eight neighbours (row, column): the first of equals is downstream.
 D8 = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
@@ -29,15 +31,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def chains(edges: DataFrame, shared_dir: str | None = None, max_rounds: int = 60) -> DataFrame:
+def chains(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """src, dst, flow and ``chain``: segments joined at nodes of degree 2, named by the chain's least edge number.
 
     Edges must have a unique ``edge`` number.  Two edges at a node of degree 2 are linked; labels spread by minima and
     jump to their label's label, so rounds grow with the logarithm of a chain's length.  Each round is a checkpoint.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    checkpoint_dir(edges.sparkSession)
     at = edges.select("edge", F.explode(F.array("src", "dst")).alias("node"))
     pairs = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("a"), F.max("edge").alias("b")).filter("n = 2 and a <> b").select("a", "b")
     links = pairs.union(pairs.select("b", "a")).toDF("edge", "other").checkpoint()

@@ -7,6 +7,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ class DerivedTable:
         try:
             rows = self.spark.read.text(f"{self.path}.stamp").collect()
             return json.loads(rows[0]["value"])
-        except Exception:  # absent or corrupt: the table is made again
+        except (AnalysisException, ValueError, LookupError):  # absent or corrupt: the table is made again
             return None
 
     def explain(self, components: dict[str, str]) -> str:
@@ -88,9 +89,16 @@ class DerivedTable:
         if force or self.explain(components):
             fresh = f"{self.path}.new"
             build().write.mode("overwrite").parquet(fresh)
-            self._fs.delete(self._path(f"{self.path}.stamp"), True)
-            self._fs.delete(self._path(self.path), True)
+            old = self._path(f"{self.path}.old")
+            self._fs.delete(old, True)
+            self._fs.delete(self._path(f"{self.path}.stamp"), True)  # without a stamp a half-done change is a miss
+            there = self._fs.exists(self._path(self.path))
+            if there and not self._fs.rename(self._path(self.path), old):
+                raise OSError(f"cannot rename {self.path}")
             if not self._fs.rename(self._path(fresh), self._path(self.path)):
+                if there:
+                    self._fs.rename(old, self._path(self.path))
                 raise OSError(f"cannot rename {fresh}")
+            self._fs.delete(old, True)
             self.spark.createDataFrame([(json.dumps(stamp(components)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}.stamp")
         return self.spark.read.parquet(self.path)

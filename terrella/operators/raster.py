@@ -6,6 +6,8 @@ shuffle with partial sums, and no join of the grid with itself.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,8 +117,18 @@ def to_chunks(cells: DataFrame, value: str, side: int) -> DataFrame:
     """Cells as dense square chunks (chunk_row, chunk_col, v: values by place, null where there is no cell)."""
     at = ((F.col("row") % side) * side + F.col("col") % side).cast("int")
     key = lambda c: F.floor(F.col(c) / F.lit(float(side))).cast("long")
-    g = cells.groupBy(key("row").alias("chunk_row"), key("col").alias("chunk_col")).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.col(value).cast("float").alias("v")))).alias("m"))
-    return g.select("chunk_row", "chunk_col", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.try_element_at("m", k)).alias("v"))
+    g = cells.groupBy(key("row").alias("chunk_row"), key("col").alias("chunk_col")).agg(F.collect_list(F.struct(at.alias("k"), F.col(value).cast("float").alias("v"))).alias("c"))
+
+    @F.arrow_udf("array<float>")
+    def dense(c: pa.Array) -> pa.Array:
+        flat, n = c.flatten(), side * side
+        v = flat.field("v")
+        place = np.repeat(np.arange(len(c)) * n, c.value_lengths().to_numpy()) + flat.field("k").to_numpy()
+        out, there = np.zeros(len(c) * n, np.float32), np.zeros(len(c) * n, bool)
+        out[place], there[place] = v.fill_null(0).to_numpy(), v.is_valid().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * n), pa.array(out, mask=~there))
+
+    return g.select("chunk_row", "chunk_col", dense("c").alias("v"))
 
 
 def from_chunks(chunks: DataFrame, side: int, name: str = "value") -> DataFrame:

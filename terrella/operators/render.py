@@ -19,7 +19,6 @@ from .. import registry
 from ..functions import geo
 from ..model import BIOMES, BLEND, DETAIL_HI, DETAIL_LO, DETAIL_Z, ELEVATION_STOPS, HILLSHADE_Z, MERC_R, ORIGIN, OTHER_RELIEF, rgb
 from .noise import simplex_at, simplex_fbm_at
-from .raster import to_chunks
 
 TILE, PAD, HALO, CELL = 256, 10, 8, 0.01
 SIDE = 32  # cells across a chunk
@@ -37,22 +36,30 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
-def world_chunks(cells: DataFrame) -> DataFrame:
-    """Cells (row from 90 N down, col from 180 W, and the layers) as chunks with one array for each layer."""
-    out = None
-    for name in LAYERS:
-        c = to_chunks(cells, name, SIDE).withColumnRenamed("v", name)
-        out = c if out is None else out.join(c, ["chunk_row", "chunk_col"], "full")
-    return out
-
-
-def tile_windows(requests: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each tile (z, x, y) with every chunk its padded window touches: an equi-join by chunk number."""
+def chunk_keys(requests: DataFrame) -> DataFrame:
+    """Each tile (z, x, y) asked for with the numbers of the chunks that its padded window touches."""
     r = requests.select("z", "x", "y").distinct()
     b = geo.tile_bbox(F.col("z"), F.col("x"), F.col("y"), HALO + 2, CELL)
     span = lambda lo, hi: F.sequence(F.floor(lo / (CELL * SIDE)), F.floor(hi / (CELL * SIDE)))
-    keys = r.withColumn("chunk_row", F.explode(span(90 - b["ymax"], 90 - b["ymin"]))).withColumn("chunk_col", F.explode(span(b["xmin"] + 180, b["xmax"] + 180)))
-    return keys.join(chunks, ["chunk_row", "chunk_col"], "left")
+    return r.withColumn("chunk_row", F.explode(span(90 - b["ymax"], 90 - b["ymin"]))).withColumn("chunk_col", F.explode(span(b["xmin"] + 180, b["xmax"] + 180)))
+
+
+def world_chunks(cells: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Cells (row from 90 N down, col from 180 W, and the layers) as chunks: the cells there are, with their places; all layers in one shuffle.
+
+    With ``requests`` only cells of chunks that some tile touches are moved.
+    """
+    number = lambda c: F.floor(F.col(c) / F.lit(float(SIDE))).cast("long")
+    at = (F.pmod(F.col("row"), F.lit(SIDE)) * SIDE + F.pmod(F.col("col"), F.lit(SIDE))).cast("int").alias("k")
+    c = cells.select(number("row").alias("chunk_row"), number("col").alias("chunk_col"), F.struct(at, *[F.col(n).cast("float").alias(n) for n in LAYERS]).alias("c"))
+    if requests is not None:
+        c = c.join(chunk_keys(requests).select("chunk_row", "chunk_col").distinct(), ["chunk_row", "chunk_col"], "left_semi")
+    return c.groupBy("chunk_row", "chunk_col").agg(F.collect_list("c").alias("cells"))
+
+
+def tile_windows(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each tile with every chunk its padded window touches: an equi-join by chunk number."""
+    return chunk_keys(requests).join(chunks, ["chunk_row", "chunk_col"], "left")
 
 
 def _grid(z: int, x: int, y: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -200,23 +207,26 @@ def _plants(out: np.ndarray, t: dict[str, np.ndarray], biome: np.ndarray) -> np.
     return np.clip(out, 0, 255)
 
 
-def _window(chunks: dict[str, list], rows: list[int], cols: list[int]) -> tuple[dict[str, np.ndarray], int, int]:
-    top, left = min(rows), min(cols)
-    shape = ((max(rows) - top + 1) * SIDE, (max(cols) - left + 1) * SIDE)
+def _window(cells: pa.ChunkedArray, rows: np.ndarray, cols: np.ndarray) -> tuple[dict[str, np.ndarray], int, int]:
+    """Each layer of a tile's chunks as one array, with gaps where there is no cell."""
+    top, left = int(rows.min()), int(cols.min())
+    shape = ((int(rows.max()) - top + 1) * SIDE, (int(cols.max()) - left + 1) * SIDE)
+    lists = cells.combine_chunks()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    place = lambda n: flat.field(n).to_numpy(zero_copy_only=False)
+    k = place("k").astype(np.int64)
+    r, c = np.repeat(rows - top, sizes) * SIDE + k // SIDE, np.repeat(cols - left, sizes) * SIDE + k % SIDE
     out = {n: np.full(shape, np.nan) for n in LAYERS}
-    for k, (r, c) in enumerate(zip(rows, cols, strict=True)):
-        for n in LAYERS:
-            v = chunks[n][k]
-            if v is not None:
-                out[n][(r - top) * SIDE : (r - top + 1) * SIDE, (c - left) * SIDE : (c - left + 1) * SIDE] = np.array(v, float).reshape(SIDE, SIDE)
+    for n in LAYERS:
+        out[n][r, c] = place(n)
     return out, top * SIDE, left * SIDE
 
 
 def _tile(layer: str):
     def run(key, table):
         z, x, y = (k.as_py() for k in key)
-        chunks = {n: table.column(n).to_pylist() for n in LAYERS}
-        window, top, left = _window(chunks, table.column("chunk_row").to_pylist(), table.column("chunk_col").to_pylist())
+        window, top, left = _window(table.column("cells"), table.column("chunk_row").to_numpy(), table.column("chunk_col").to_numpy())
         colours = paint(terrain(window, top, left, z, x, y), layer)[PAD:-PAD, PAD:-PAD]
         return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x]), "y": pa.array([y]), "png": pa.array([png(np.rint(colours).astype(np.uint8))], pa.binary())})
 

@@ -29,14 +29,16 @@ def tiles(p, zoom: int = 12):
 @query()
 def render_tiles(p):
     """All tiles of the elevation layer at zoom 12, as digests of their bytes."""
-    t = render.render(tiles(p), render.world_chunks(world(p)))
+    wanted = tiles(p)
+    t = render.render(wanted, render.world_chunks(world(p), wanted))
     return t.select("z", "x", "y", F.length("png").alias("n_bytes"), F.md5("png").alias("digest"))
 
 
 @query()
 def render_biome_tiles(p):
     """All tiles of the biome layer at zoom 12, as digests of their bytes."""
-    t = render.render(tiles(p), render.world_chunks(world(p)), "biome")
+    wanted = tiles(p)
+    t = render.render(wanted, render.world_chunks(world(p), wanted), "biome")
     return t.select("z", "x", "y", F.length("png").alias("n_bytes"), F.md5("png").alias("digest"))
 
 

@@ -30,5 +30,18 @@ def share_code(spark: SparkSession) -> None:
     env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(parts))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, set as the context's checkpoint folder; one of our own only on a single machine."""
+    sc = spark.sparkContext
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(named or "/tmp/checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

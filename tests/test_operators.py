@@ -263,3 +263,51 @@ def test_every_cell_of_the_grid_is_rendered(spark, sf):
     for name in ("render_tiles", "render_biome_tiles"):
         got = rows(registry.QUERIES[name](spark, sf), "x", "y")
         assert len(got) == len(want) and set(got) == want
+
+
+def test_lowest_free_numbers(spark):
+    from terrella.operators.overrides import free_numbers
+
+    rows = spark.createDataFrame([(i,) for i in [1, 2, 4, 5, 6, 9, 1000, -3, None, 4]], "n long")
+    assert [r.free for r in free_numbers(rows, "n", 5).collect()] == [3, 7, 8, 10, 11]
+    assert [r.free for r in free_numbers(rows.limit(0), "n", 3).collect()] == [1, 2, 3]
+
+
+def test_ranks_equal_a_window(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from terrella.operators.ranks import ranked
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("abc") if i % 9 else None, rng.choice([None, 0, -5, 7, 7, 100, 10**6, 3 * 10**9]) if i % 3 else rng.randint(-50, 5000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, v long")
+    want = {r.id: (r.n, r.c) for r in df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last(), "id")).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("g")).alias("c")).collect()}
+    assert {r.id: (r.n, r.c) for r in ranked(df, "g", "v", "id", "n", total="c").collect()} == want
+
+
+def test_nearest_in_rings_equals_one_search(spark):
+    import random
+
+    from terrella.operators import joins
+
+    rng = random.Random(7)
+    point = lambda: (rng.uniform(-180, 180), rng.uniform(-80, 80))
+    a = spark.createDataFrame([(i, *point()) for i in range(60)], "k long, x double, y double")
+    b = spark.createDataFrame([(i, *point()) for i in range(200)], "o long, x2 double, y2 double")
+    from pyspark.sql import functions as F
+
+    whole = joins.first_per(joins.near_join(a, b, 3000.0, ("x", "y"), ("x2", "y2")).filter("km > 100"), ["k"], [F.col("km"), F.col("o")])
+    rings = joins.nearest_in_rings(a, b, "k", "o", (200.0, 900.0, 3000.0), ("x", "y"), ("x2", "y2"), least=100.0)
+    want = {(r.k, r.o) for r in whole.collect()}
+    assert want and {(r.k, r.o) for r in rings.collect()} == want
+
+
+def test_chains_of_any_length_equal_plain_ones(spark):
+    from terrella.operators import network
+
+    edges = [(i, i, i + 1) for i in range(100)] + [(200 + i, 500, 600 + i) for i in range(3)] + [(300, 700, 701), (301, 702, 701), (302, 702, 700)] + [(400, 800, 800)]
+    got = {r.edge: r.chain for r in network.chains(spark.createDataFrame(edges, "edge long, src long, dst long")).collect()}
+    assert {got[i] for i in range(100)} == {0} and [got[200 + i] for i in range(3)] == [200, 201, 202]
+    assert {got[i] for i in (300, 301, 302)} == {300} and got[400] == 400
