@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocks, mix64, windows
-from .scratch import materialize, shared_dir
+from .scratch import materialize, release, shared_dir
 from .sift import hot_keys, join_split, rows_of
 
 BANDS = 32
@@ -327,6 +327,7 @@ def components(links: DataFrame) -> DataFrame:
         e = small.distinct().checkpoint()
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
+            release(spark)
             return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label"))
         last = now
 
@@ -397,6 +398,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     tried = materialize(star.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimator(num, den), "a long, b long"), "tried")
     links = _verify(tried, docs, shingle, num, den)
     labels = materialize(components(links), "labels")
+    release(spark)
     best = _by_block(_blocks(members, labels, reps).drop("bands", "key"), _best_pairs(num, den), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     for found in (_verify(best, docs, shingle, num, den), None):
         found = _late_links(members, labels, reps, docs, shingle, num, den) if found is None else found

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize, release
 from .stats import text_stats
 
 #: Shrinkage of a class covariance: towards the pooled one, then towards the identity.
@@ -151,6 +151,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     x = materialize(featured(docs), "features")
     model = fit(x.join(clean_labels(labels), "doc_id"))
+    discard(x)
+    release(docs.sparkSession)
 
     @F.arrow_udf("double")
     def score(t: pa.Array) -> pa.Array:

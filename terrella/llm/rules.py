@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import clean_labels
-from .scratch import materialize
+from .scratch import discard, materialize, release
 from .sift import sample_by_hash
 from .stats import COUNTS, text_stats
 
@@ -169,6 +169,8 @@ def keep_regular(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass limits and forest; texts are read twice and not shuffled."""
     x = materialize(with_stats(docs), "rules")
     forest, limit = rule_model(x, labels)
+    discard(x)
+    release(docs.sparkSession)
     if forest is None:
         return docs
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,16 @@ def discard(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps held.
+
+    Shuffle files and broadcasts go from the executors' disks and memory only once the driver's JVM has collected their handles, which
+    with a roomy heap comes late; operators of many jobs ask for it between their phases.
+    """
+    gc.collect()  # the JVM's objects stay while Python's handles do
+    spark.sparkContext._jvm.System.gc()
+
+
 def fetch(uri: str) -> str:
     """A local path of a file in the shared folder, for workers that map it.
 

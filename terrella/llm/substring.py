@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .blocks import SPACE, Block, blocks, mix64
 from .near_dup import _attach, _own_ids
-from .scratch import discard, materialize
+from .scratch import discard, materialize, release
 from .sift import hot_keys, join_split, rows_of, sift
 
 MIN_WORDS, FEWEST_WORDS = 50, 24
@@ -211,12 +211,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = join_split(several, known, ["digest"], hot_keys(several, ["digest"], ["doc_id", "start"]))
     marks = materialize(shared.groupBy("doc_id").agg(F.collect_list("digest").alias("shared")), "marks")
     discard(several, known)
+    release(docs.sparkSession)
     # marks take a fraction of the texts' bytes, so their hash table fits where texts would have to be sorted
     full = sift(named, "doc_id", marks.select(F.col("doc_id").alias("id"))).join(marks.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("id"), "text", "shared")
     rows = materialize(full.mapInArrow(_writer(min_words), "doc_id long, start int, size int, digest long, first boolean"), "windows")
     owned = materialize(_owned(rows), "owned")
     held = materialize(sift(rows, "digest", owned.select(F.col("digest").alias("id"))).drop("first"), "held")
     discard(rows, marks)
+    release(docs.sparkSession)
     hits = join_split(held, owned, ["digest"], hot_keys(held, ["digest"], ["doc_id", "start"])).filter("doc_id > owner_id")
     hits = hits.groupBy("doc_id", "owner_id", (F.col("start") - F.col("owner_start")).alias("distance")).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
     pairs = materialize(hits.groupBy("doc_id", "owner_id").agg(F.collect_list(F.struct("start", "end", "distance")).alias("hits")), "evidence")
