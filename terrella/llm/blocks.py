@@ -143,6 +143,13 @@ def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> I
         at = to
 
 
+def slices(batches, rows: int):
+    """Batches of at most ``rows`` rows: what a worker makes of a batch stays small, however many rows Spark puts in it."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values between the bounds ``at`` of each text, as int64."""
     c = np.zeros(len(values) + 1, np.int64)

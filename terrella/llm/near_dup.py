@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import blocks, mix64, windows
+from .blocks import blocks, mix64, slices, windows
 from .scratch import materialize, release, shared_dir
 from .sift import hot_keys, join_split, rows_of
 
@@ -43,6 +43,8 @@ LOW_BITS = 2
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 5.0
 BLOCK_ROWS = 1024
+#: Pairs whose full sets are held at once.
+VERIFIED = 512
 #: Bucket heads that each document is first compared with, the smallest ids.
 HOOKS = 2
 SALTS = 32
@@ -285,7 +287,7 @@ def _verifier(k: int, num: int, den: int):
     """Rows (a, b, ta, tb) -> the (a, b) whose full sets reach the threshold."""
 
     def run(batches):
-        for t in batches:
+        for t in slices(batches, VERIFIED):
             ok = np.zeros(t.num_rows, bool)
             tb = t.column("tb").to_pylist()
             distinct = list(dict.fromkeys(tb))

@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, Block, blocks, mix64
+from .blocks import SPACE, Block, blocks, mix64, slices
 from .near_dup import _attach, _own_ids
 from .scratch import discard, materialize, release
 from .sift import hot_keys, join_split, rows_of, sift
 
 MIN_WORDS, FEWEST_WORDS = 50, 24
+#: Pairs of texts held as Python objects at once.
+COMPARED = 256
 #: What the rolling hash looks back on: so many bytes are at most half as many words.
 GEAR_BYTES = 16
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(48)).astype(np.uint16)
@@ -174,7 +176,7 @@ def _comparer(min_words: int):
     """Rows (doc_id, owner_id, hits, ta, tb) -> repeats; hits are the first start, last end and distance of windows."""
 
     def run(batches):
-        for t in batches:
+        for t in slices(batches, COMPARED):
             rows = []
             cols = [t.column(c).to_pylist() for c in ("doc_id", "owner_id", "hits", "ta", "tb")]
             for doc, owner, hits, ta, tb in zip(*cols, strict=True):
