@@ -6,12 +6,14 @@ the bytes give a 64-bit hash of any span in constant time, the same in every blo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+#: What other modules remember in a worker between batches and can let go of: a worker that turns to block work is done with it.
+REMEMBERED: list[Callable[[], None]] = []
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -131,6 +133,8 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Whole texts in runs of about ``limit`` bytes; a longer text is a block by itself."""
+    for let_go in REMEMBERED:
+        let_go()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets, raw = string_parts(column)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .ranks import gapless
 from .scratch import materialize
 
@@ -105,6 +106,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+blocks.REMEMBERED.append(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .blocks import mix64, powers
 
 SPACE_MARK = "▁"
@@ -346,6 +347,7 @@ class Pieces:
 
 
 _loaded: dict[str, Pieces] = {}
+blocks.REMEMBERED.append(_loaded.clear)
 
 
 def pieces(path: str) -> Pieces:
