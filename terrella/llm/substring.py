@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SPACE, Block, blocks, mix64, slices
@@ -232,13 +232,17 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return full.mapInArrow(_comparer(min_words), kind).distinct()
 
 
-def _cut_out(text: str, spans: list[dict]) -> str:
-    raw, at, out = text.encode(), 0, []
-    for s, e in sorted((x["start"], x["end"]) for x in spans):
-        if s > at:
-            out.append(raw[at:s])
-        at = max(at, e)
-    return b"".join([*out, raw[at:]]).decode("utf-8", "ignore")
+def _cut_out(text: Column, spans: Column) -> Column:
+    """A text without the spans (start and end in bytes, at bounds of words) given, in the JVM: nothing is copied to Python."""
+    raw = text.cast("binary")
+    part = lambda lo, size: F.substring(raw, (lo + 1).cast("int"), size.cast("int"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.unhex(F.lit("")).alias("out"))
+
+    def pass_by(acc: Column, x: Column) -> Column:
+        out = F.when(x["start"] > acc["at"], F.concat(acc["out"], part(acc["at"], x["start"] - acc["at"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(F.array_sort(spans), begin, pass_by, lambda acc: F.concat(acc["out"], part(acc["at"], F.octet_length(raw)))).cast("string")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -249,13 +253,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     own = _own_ids(docs)  # places of one text are none of another with its doc_id
     spans = repeats(own.select(F.col("_own").alias("doc_id"), "text"), min_words).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))  # of one document
 
-    @F.arrow_udf("string")
-    def cut(t: pa.Array, s: pa.Array) -> pa.Array:
-        return pa.array([x if x is None or not y else _cut_out(x, y) for x, y in zip(t.to_pylist(), s.to_pylist(), strict=True)], pa.string())
-
     joined = own.join(spans, F.col("_own") == F.col("_doc"), "left")
     touched = F.col("_spans").isNotNull()
-    out = joined.withColumn("_new", F.when(touched, cut(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    out = joined.withColumn("_new", F.when(touched & F.col("text").isNotNull(), _cut_out(F.col("text").cast("string"), F.col("_spans"))).otherwise(F.col("text")))
     keep = []
     for c in docs.columns:
         if c == "text":
