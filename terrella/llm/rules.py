@@ -25,7 +25,7 @@ from .scratch import discard, materialize, release
 from .sift import sample_by_hash
 from .stats import COUNTS, text_stats
 
-SAMPLE, TREES, PER_TREE, SEED = 8192, 100, 256, 17
+SAMPLE, TREES, PER_TREE, SEED = 8192, 300, 256, 17
 MAX_GOOD_LOST = 0.01
 BINS = 2000
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -123,8 +123,8 @@ def anomaly(forest: Forest, source: Column) -> Column:
 
 def fit_forest(stats: DataFrame) -> Forest | None:
     """``stats``: doc_id and rules array<double>.  Null if there are no rows."""
-    got = sample_by_hash(stats, SAMPLE, "doc_id", "rules").select("doc_id", "rules").distinct().select("rules", F.xxhash64("rules").alias("h")).collect()
-    return grow(np.array([r["rules"] for r in sorted(got, key=lambda r: (r["h"], r["rules"]))])) if got else None  # in an order of its own, not that of arrival
+    got = sample_by_hash(stats, SAMPLE, "doc_id", "rules").select("rules", F.xxhash64("doc_id", "rules").alias("h")).distinct().collect()
+    return grow(np.array([r["rules"] for r in sorted(got, key=lambda r: (r["h"], r["rules"]))])) if got else None  # in the sample's own order, not that of arrival
 
 
 def calibrate(scored: DataFrame) -> float:
