@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -39,16 +42,45 @@ def normalise(raw: DataFrame) -> DataFrame:
     return raw.select("settlement_id", blank("name").alias("name"), F.expr("try_cast(population AS DOUBLE)").alias("population"))
 
 
-def apply(canon: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Canon rows with the first override (by key) that resolves to each; blank or missing parts leave canon as it is."""
-    o = first_per(resolved.filter(F.col("match_id").isNotNull()), ["match_id"], [F.col("key")])
-    o = o.select(F.col("match_id").alias("id"), F.col("name").alias("o_name"), F.col("population").alias("o_pop"))
-    return canon.join(o, "id", "left").withColumn("name", F.coalesce("o_name", "name")).withColumn("pop", F.coalesce(F.col("o_pop").cast("long"), "pop")).drop("o_name", "o_pop")
+def _last(part: str) -> Column:
+    """The part that the last row by key gives; rows without it do not count."""
+    return F.max_by(F.col(part), F.when(F.col(part).isNotNull(), F.col("key")))
+
+
+def apply(canon: DataFrame, resolved: DataFrame, moved: DataFrame | None = None) -> DataFrame:
+    """Canon rows with what their overrides give; blank or missing parts leave canon as it is.
+
+    ``resolved``: match_id, key and of name, inkarnate and population those there are; ``moved``: match_id, key, new_lon, new_lat.
+    Both are resolved against canon as it stood.  Where several rows resolve to one, the last by key that gives a part gives it.
+    """
+    parts = {"name": "name", "inkarnate": "inkarnate", "population": "pop"}
+    given = {o: c for o, c in parts.items() if o in resolved.columns and c in canon.columns}
+    o = resolved.filter(F.col("match_id").isNotNull()).groupBy(F.col("match_id").alias("id")).agg(*[_last(g).alias(f"_{g}") for g in given])
+    out = canon.join(o, "id", "left")
+    out = out.withColumns({c: F.coalesce(F.col(f"_{g}").cast(canon.schema[c].dataType), F.col(c)) for g, c in given.items()})
+    if moved is not None:
+        m = moved.filter("match_id is not null and new_lon is not null and new_lat is not null").groupBy(F.col("match_id").alias("id"))
+        out = out.join(m.agg(_last("new_lon").alias("_lon"), _last("new_lat").alias("_lat")), "id", "left")
+        out = out.withColumns({"lon": F.coalesce("_lon", "lon"), "lat": F.coalesce("_lat", "lat")})
+    return out.select(*canon.columns)
+
+
+def applied(resolved: DataFrame, moved: DataFrame) -> DataFrame:
+    """One row: how many names, links, populations and moves found their row."""
+    n = lambda c: F.count_if(F.col("match_id").isNotNull() & F.col(c).isNotNull())
+    return resolved.agg(n("name").alias("names"), n("inkarnate").alias("links"), n("population").alias("populations")).crossJoin(moved.agg(n("new_lon").alias("moves")))
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of ``table`` with those of ``changes`` in their place or added; columns of the former."""
-    return table.join(changes.select(key), key, "left_anti").unionByName(changes.select(*table.columns))
+    """Rows of ``table`` with those of ``changes`` in their place or added; columns of the former.
+
+    A change that gives nothing but its key takes the row away.
+    """
+    kept = changes.select(*table.columns)
+    parts = [F.col(c).isNotNull() for c in table.columns if c != key]
+    if parts:
+        kept = kept.filter(reduce(or_, parts))
+    return table.join(changes.select(key), key, "left_anti").unionByName(kept)
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:

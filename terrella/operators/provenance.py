@@ -102,3 +102,57 @@ class DerivedTable:
             self._fs.delete(old, True)
             self.spark.createDataFrame([(json.dumps(stamp(components)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}.stamp")
         return self.spark.read.parquet(self.path)
+
+
+#: The boundary of a cache taken as current: no tile is older.
+ADOPTED = 0.0
+
+
+def stale(tiles: DataFrame, boundary: float | None, made: str = "made") -> DataFrame:
+    """Tiles made before the boundary; without one, or where the time is unknown, none: doubt never holds up a request."""
+    return tiles.filter(F.col(made) < F.lit(boundary)) if boundary is not None else tiles.filter(F.lit(False))
+
+
+class RenderStamp:
+    """What tiles were rendered by, in a small file, and the time before which a tile is stale.  Nothing is deleted by it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _write(self, components: dict[str, str], boundary: float) -> float:
+        self.spark.createDataFrame([(json.dumps(stamp(components) | {"boundary": boundary}),)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
+        return boundary
+
+    def read(self) -> dict | None:
+        """The stamp; none if the file is absent or cannot be understood."""
+        try:
+            found = json.loads(self.spark.read.text(self.path).collect()[0]["value"])
+            return found if isinstance(found["components"], dict) and isinstance(found["boundary"], (int, float)) else None
+        except (AnalysisException, ValueError, LookupError, TypeError):
+            return None
+
+    def sync(self, components: dict[str, str], now: float, adopt: bool = True) -> tuple[float, str]:
+        """The boundary and what happened to it.
+
+        An equal stamp keeps it.  The first stamp ever takes the tiles there are as current, or with ``adopt`` false as stale; a stamp that
+        cannot be read or differs makes them stale.
+        """
+        had, old = self._fs.exists(self._path), self.read()
+        if not had:
+            return self._write(components, ADOPTED if adopt else now), "adopted" if adopt else "condemned"
+        if old is None:
+            return self._write(components, now), "unreadable"
+        moved = why(old["components"], components)
+        return (self._write(components, now), moved) if moved else (old["boundary"], "")
+
+    def invalidate(self, components: dict[str, str], now: float) -> float:
+        """Every tile is made again when next asked for; a stamp that is there keeps its components."""
+        old = self.read()
+        return self._write(old["components"] if old else components, now)
+
+    def adopt(self, components: dict[str, str]) -> float:
+        """The tiles count as made by these components: only right where that has been shown."""
+        return self._write(components, ADOPTED)

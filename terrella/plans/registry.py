@@ -12,7 +12,7 @@ from .proxies import Proxies, oracle
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-FAMILIES = ("scalars", "relations", "lines", "grids", "places", "fields", "publishing", "checks", "assembly")
+FAMILIES = ("scalars", "relations", "lines", "grids", "places", "fields", "shaping", "publishing", "checks", "assembly")
 
 
 def query(needs: str = "", sql: str | None = None):

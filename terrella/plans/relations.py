@@ -65,7 +65,10 @@ firm AS (SELECT key, id AS match_id, 'id' AS how, km FROM d WHERE settlement_id
 near AS (SELECT key, id AS match_id, 'coords' AS how, km FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY km, id) AS n FROM d WHERE km <= 75 AND key NOT IN (SELECT key FROM firm)) WHERE n = 1),
 found AS (SELECT * FROM firm UNION ALL SELECT * FROM near),
 resolved AS (SELECT o.key, f.match_id, coalesce(f.how, 'none') AS how, f.km, coalesce(f.km > 15, false) AS warn FROM override o LEFT JOIN found f USING (key)),
-applied AS (SELECT match_id, name, population FROM (SELECT r.match_id, o.name, o.population, row_number() OVER (PARTITION BY r.match_id ORDER BY r.key) AS n FROM resolved r JOIN override o USING (key) WHERE r.match_id IS NOT NULL) WHERE n = 1)
+gave AS (SELECT r.match_id, r.key, o.name, o.population, CASE WHEN o.key % 7 = 0 THEN concat('map', o.key, '.jpg') END AS link FROM resolved r JOIN override o USING (key) WHERE r.match_id IS NOT NULL),
+move AS (SELECT r.match_id, r.key, o.lon + 0.5 AS lon, o.lat + 0.25 AS lat FROM resolved r JOIN override o USING (key) WHERE r.match_id IS NOT NULL AND o.key % 3 = 1 AND o.lon IS NOT NULL),
+applied AS (SELECT match_id, arg_max(name, key) FILTER (name IS NOT NULL) AS name, arg_max(population, key) FILTER (population IS NOT NULL) AS population, arg_max(link, key) FILTER (link IS NOT NULL) AS link FROM gave GROUP BY match_id),
+moved AS (SELECT match_id, arg_max(lon, key) AS lon, arg_max(lat, key) AS lat FROM move GROUP BY match_id)
 """
 
 
@@ -74,12 +77,25 @@ def resolve_override(p):
     return overrides.resolve(p.override, p.settlement).withColumn("km", F.round("km", 4))
 
 
-@query("settlement override", _RESOLVED + """SELECT s.id, coalesce(a.name, s.name) AS name, coalesce(CAST(a.population AS BIGINT), s.pop) AS pop, s.continent
-FROM settlement s LEFT JOIN applied a ON s.id = a.match_id""")
+def found_overrides(p):
+    """The overrides with the rows they resolve to, and those of them that move their row."""
+    o = p.override.withColumn("inkarnate", F.when(F.col("key") % 7 == 0, F.concat(F.lit("map"), F.col("key").cast("string"), F.lit(".jpg"))))
+    found = overrides.resolve(o, p.settlement).select("key", "match_id").join(o, "key")
+    moves = found.filter((F.col("key") % 3 == 1) & F.col("lon").isNotNull())
+    return found, moves.select("key", "match_id", (F.col("lon") + 0.5).alias("new_lon"), (F.col("lat") + 0.25).alias("new_lat"))
+
+
+@query("settlement override", _RESOLVED + """SELECT s.id, coalesce(a.name, s.name) AS name, coalesce(CAST(a.population AS BIGINT), s.pop) AS pop, s.continent, coalesce(a.link, s.inkarnate) AS inkarnate,
+round(coalesce(m.lon, s.lon), 6) AS lon, round(coalesce(m.lat, s.lat), 6) AS lat FROM settlement s LEFT JOIN applied a ON s.id = a.match_id LEFT JOIN moved m ON s.id = m.match_id""")
 def apply_overrides(p):
-    o = p.override
-    found = overrides.resolve(o, p.settlement).join(o.select("key", "name", "population"), "key")
-    return overrides.apply(p.settlement.select("id", "name", "pop", "continent"), found)
+    """Names, links, populations and moves on canon."""
+    out = overrides.apply(p.settlement.select("id", "name", "pop", "continent", "inkarnate", "lon", "lat"), *found_overrides(p))
+    return out.withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6)})
+
+
+@query("settlement override", _RESOLVED + "SELECT count(name) AS names, count(link) AS links, count(population) AS populations, (SELECT count(*) FROM move) AS moves FROM gave")
+def override_applied(p):
+    return overrides.applied(*found_overrides(p))
 
 
 @query("settlement override", _RESOLVED + "SELECT how, count(*) AS n, CAST(sum(CASE WHEN warn THEN 1 ELSE 0 END) AS BIGINT) AS warned FROM resolved GROUP BY how")
@@ -94,14 +110,15 @@ def override_normalise(p):
     return overrides.normalise(raw)
 
 
-_UPSERT = """WITH base AS (SELECT key, name, population FROM override WHERE name IS NOT NULL), changed AS (SELECT key, coalesce(name, 'renamed') AS name, population * 2 AS population FROM override WHERE population IS NOT NULL)"""
+_UPSERT = """WITH base AS (SELECT key, name, population FROM override WHERE name IS NOT NULL), changed AS (SELECT key, CASE WHEN key % 8 <> 0 THEN coalesce(name, 'renamed') END AS name, CASE WHEN key % 8 <> 0 THEN population * 2 END AS population FROM override WHERE population IS NOT NULL)"""
 
 
-@query("override", _UPSERT + " SELECT * FROM base WHERE key NOT IN (SELECT key FROM changed) UNION ALL SELECT * FROM changed")
+@query("override", _UPSERT + " SELECT * FROM base WHERE key NOT IN (SELECT key FROM changed) UNION ALL SELECT * FROM changed WHERE name IS NOT NULL OR population IS NOT NULL")
 def override_upsert(p):
-    """Named overrides, with those that give a population changed or added."""
+    """Named overrides, with those that give a population changed or added; every eighth change is empty and deletes."""
     base = p.override.filter("name is not null").select("key", "name", "population")
-    changed = p.override.filter("population is not null").select("key", F.coalesce("name", F.lit("renamed")).alias("name"), (F.col("population") * 2).alias("population"))
+    full = F.col("key") % 8 != 0
+    changed = p.override.filter("population is not null").select("key", F.when(full, F.coalesce("name", F.lit("renamed"))).alias("name"), F.when(full, F.col("population") * 2).alias("population"))
     return overrides.upsert(base, changed, "key")
 
 
