@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
@@ -53,6 +53,24 @@ def footprint(cells: DataFrame) -> DataFrame:
     return c.select((F.col("row") + F.col("j")).alias("row"), (F.col("col") + F.col("i")).alias("col")).distinct()
 
 
+def bridges(near: DataFrame, river: Column, deck: float, channel: float) -> DataFrame:
+    """Cells (row, col) of a road's deck within a river's channel, from distances to lines (row, col, line, d); ``river`` tells rivers from roads."""
+    over, under = F.bool_or(~river & (F.col("d") <= deck)), F.bool_or(river & (F.col("d") <= channel))
+    return near.groupBy("row", "col").agg(over.alias("_over"), under.alias("_under")).filter("_over and _under").select("row", "col")
+
+
+def in_frame(tiles: DataFrame, points: DataFrame, tags: list[str], pad: float = 0.02, size: float = 0.25) -> DataFrame:
+    """Tiles (z, x, y) with ``tags``, those that a point (lon, lat, tag) within the tile's box and ``pad`` degrees around bears, in the order given; tiles without any are left out."""
+    n = geo.tiles_across(F.col("z"))
+    edge = lambda y: F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * y / n))))
+    t = tiles.select("z", "x", "y").distinct()
+    t = t.withColumns({"_w": F.col("x") / n * 360 - 180 - pad, "_e": (F.col("x") + 1) / n * 360 - 180 + pad, "_s": edge(F.col("y") + 1) - pad, "_n": edge(F.col("y")) + pad})
+    q = points.select("tag", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon1"), F.col("lat").alias("_lat1"))
+    j = box_join(t, q, size, ("_w", "_e", "_s", "_n"), ("_lon", "_lon1", "_lat", "_lat1"))
+    seen = [F.when(F.bool_or(F.col("tag") == tag), tag) for tag in tags]
+    return j.groupBy("z", "x", "y").agg(F.array_compact(F.array(*seen)).alias("tags"))
+
+
 def near_lines(points: DataFrame, vertices: DataFrame, width: float, bin_size: float) -> DataFrame:
     """row, col, line and d: points (row, col, px, py) within ``width`` of a line's box of segments, with the least distance to each line."""
     from .polyline import along

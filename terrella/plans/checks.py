@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import provenance
+from ..operators import places, provenance
 from .registry import query
 from .scalars import _TILE, tile_requests
 
@@ -43,7 +43,7 @@ _SEEN = _TILE + ", c AS (SELECT z, x, y, max(id) AS made FROM tile_req GROUP BY
 @query("settlement", _SEEN + " SELECT z, x, y FROM c WHERE made < 75")
 def stale_tiles(p):
     """Tiles made before the stamp."""
-    return tile_requests(p).groupBy("z", "x", "y").agg(F.max("id").alias("made")).filter("made < 75").drop("made")
+    return provenance.stale(tile_requests(p).groupBy("z", "x", "y").agg(F.max("id").alias("made")), 75).drop("made")
 
 
 @query("settlement", _SEEN + " SELECT z, count(*) AS tiles, CAST(sum(CASE WHEN made < 75 THEN 1 ELSE 0 END) AS BIGINT) AS stale FROM c GROUP BY z")
@@ -93,11 +93,17 @@ def verdict(p):
     return joined(p).agg(v.alias("verdict"))
 
 
-@query("settlement sacred", _TILE + """, tags AS (SELECT r.z, r.x, r.y, CASE WHEN s.is_port THEN 'port' ELSE 'settlement' END AS tag FROM tile_req r JOIN settlement s USING (id)
-  UNION SELECT r.z, r.x, r.y, 'river' FROM tile_req r JOIN settlement s USING (id) WHERE s.on_river)
-SELECT z, x, y, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM tags GROUP BY z, x, y""")
+_BOX = """, t AS (SELECT DISTINCT z, x, y, pow(2, z) AS n FROM tile_req),
+b AS (SELECT z, x, y, x / n * 360 - 180 - 0.02 AS w, (x + 1) / n * 360 - 180 + 0.02 AS e, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / n)))) - 0.02 AS s, degrees(atan(sinh(pi() * (1 - 2 * y / n)))) + 0.02 AS n FROM t)"""
+_KINDS = ["settlements", "walls", "piers", "sacred"]
+
+
+@query("settlement sacred", _TILE + _BOX + """, f AS (SELECT 1 AS o, 'settlements' AS tag, lon, lat FROM settlement UNION ALL SELECT 2, 'walls', lon, lat FROM settlement WHERE pop >= 8000
+  UNION ALL SELECT 3, 'piers', lon, lat FROM settlement WHERE is_port UNION ALL SELECT 4, 'sacred', lon, lat FROM sacred), seen AS (SELECT DISTINCT z, x, y, o, tag FROM b JOIN f ON lon BETWEEN w AND e AND lat BETWEEN s AND n)
+SELECT z, x, y, string_agg(tag, ',' ORDER BY o) AS tags FROM seen GROUP BY z, x, y""")
 def tile_tags(p):
     """What is in frame of each tile."""
-    s = p.settlement.select("id", F.array_compact(F.array(F.when(F.col("is_port"), "port").otherwise("settlement"), F.when(F.col("on_river"), "river"))).alias("t"))
-    t = tile_requests(p).join(s, "id").select("z", "x", "y", F.explode("t").alias("tag"))
-    return t.groupBy("z", "x", "y").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    s = p.settlement
+    kinds = F.array_compact(F.array(F.lit("settlements"), F.when(F.col("pop") >= places.WALL_POP, "walls"), F.when(F.col("is_port"), "piers")))
+    points = s.select("lon", "lat", F.explode(kinds).alias("tag")).unionByName(p.sacred.select("lon", "lat", F.lit("sacred").alias("tag")))
+    return places.in_frame(tile_requests(p), points, _KINDS).withColumn("tags", F.array_join("tags", ","))

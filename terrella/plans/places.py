@@ -165,10 +165,10 @@ def river_width(p):
     return c.select("row", "col", r(half, "half"), (F.abs(F.col("elev") % 40) <= F.greatest(half, 0.4 * F.col("bh"))).alias("channel"))
 
 
-@query("cell", "SELECT row, col FROM cell WHERE fa % 7 = 0 AND fa >= 300000 AND water IN (3, 4)")
+@query("cell vertex", _SEG.format(w=2) + " SELECT row, col FROM m GROUP BY row, col HAVING bool_or(line % 3 <> 0 AND d <= 1.5) AND bool_or(line % 3 = 0 AND d <= 1)")
 def bridge_cells(p):
-    """Road cells within a channel."""
-    return p.cell.filter((F.col("fa") % 7 == 0) & (F.col("fa") >= 300000) & scalar.water_is(F.col("water"), "RIVER_NAV", "STREAM_MINOR")).select("row", "col")
+    """Every third line as a river; a road's deck is half as wide again as the channel it spans."""
+    return places.bridges(line_distances(p, 2.0), F.col("line") % 3 == 0, 1.5, 1.0)
 
 
 @query("settlement", f"""WITH {_RADII} SELECT id, CAST(k AS INTEGER) AS k, round(0.8 * rc * cos(2 * pi() * (k + 0.5 * {h_sql('id', '31')}) / 12), 3) AS dx, round(0.8 * rc * sin(2 * pi() * (k + 0.5 * {h_sql('id', '31')}) / 12), 3) AS dy

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrella import registry
 from terrella.functions import geo, scalar
-from terrella.operators import joins, network, noise, overrides, polyline, provenance, publish, raster, render
+from terrella.operators import joins, network, noise, overrides, places, polyline, provenance, publish, raster, render, shaping
 from terrella.sources import geojson, rasters, sinks, tables
 
 
@@ -311,3 +311,90 @@ def test_chains_of_any_length_equal_plain_ones(spark):
     got = {r.edge: r.chain for r in network.chains(spark.createDataFrame(edges, "edge long, src long, dst long")).collect()}
     assert {got[i] for i in range(100)} == {0} and [got[200 + i] for i in range(3)] == [200, 201, 202]
     assert {got[i] for i in (300, 301, 302)} == {300} and got[400] == 400
+
+
+LINES = [(1, i, 900.0 * i, 300.0 * math.sin(i)) for i in range(12)] + [(2, 0, 0.0, 5000.0), (2, 1, 50.0, 5000.0)] + [(3, i, 70.0 * i, 9000.0) for i in range(40)]
+
+
+def field(name, use=None, rung=None):
+    return lambda x, y: noise.fbm(x, y, registry.octaves(name, use), registry.wavelength(name, use, rung), registry.seed(name, rung))
+
+
+def shape_of(df):
+    lines = {}
+    for r in sorted(df.collect(), key=lambda r: (r.line, r.seq)):
+        lines.setdefault(r.line, []).append((r.x, r.y))
+    return {k: np.array(v) for k, v in lines.items()}
+
+
+def test_roads_bend_within_bounds_and_keep_their_ends(spark):
+    raw = spark.createDataFrame(LINES, "line long, seq long, x double, y double")
+    before = shape_of(shaping.densified(raw, shaping.ROAD_STEP))
+    after = shape_of(shaping.roads(raw, field("terrain", "pull"), field("terrain", "wiggle")))
+    for k, old in before.items():
+        move = np.hypot(*(after[k] - old).T)
+        assert np.hypot(*np.diff(old, axis=0).T).max() <= shaping.ROAD_STEP + 1e-6
+        assert move[0] < 1e-9 and move[-1] < 1e-9 and move.max() <= shaping.ROAD_BOUND + shaping.ROAD_WIGGLE
+    assert np.hypot(*(after[1] - before[1]).T).max() > 5 and np.allclose(after[2], before[2])  # two vertices: a road stays
+
+
+def test_rivers_go_downhill_across_their_line(spark):
+    """On a plane that falls to one side and without noise, a river steps to that side as far as its slope says, and no farther than the bound."""
+    raw = spark.createDataFrame([r for r in LINES if r[0] == 3], "line long, seq long, x double, y double")
+    flat = lambda x, y: F.lit(0.0)
+    spot = lambda x, y: (F.floor(y / 100), F.floor(x / 100))
+
+    def shaped(drop):
+        cells = spark.createDataFrame([(r, c, -drop * r) for r in range(80, 100) for c in range(-5, 40)], "row long, col long, elev long")
+        return shape_of(shaping.rivers(raw, [(10.0, flat)], flat, cells, spot))[3]
+
+    rise = 4 * (91 - 88) / 240  # of the cells at 120 m on both sides
+    gentle, steep = shaped(4), shaped(40)
+    assert np.allclose(gentle[[0, -1], 1], 9000) and np.allclose(gentle[20], (1400, 9000 + shaping.RIVER_ANCHOR * rise))
+    assert np.allclose(steep[20], (1400, 9000 + shaping.RIVER_BOUND))
+    unknown = shape_of(shaping.rivers(raw, [(10.0, flat)], flat, spark.createDataFrame([], "row long, col long, elev long"), spot))[3]
+    assert np.allclose(unknown[:, 1], 9000)
+
+
+def test_ferries_leave_the_shore_and_rest_at_sea(spark):
+    raw = spark.createDataFrame([(1, i, 1000.0 * i + 50, 50.0) for i in range(9)] + [(2, i, 1000.0 * i + 50, 5050.0) for i in range(9)], "line long, seq long, x double, y double")
+    sea = spark.createDataFrame([(r, c, True) for r in range(3, 90) for c in range(-20, 110)], "row long, col long, wet boolean")
+    got = shape_of(shaping.ferries(raw, sea, lambda x, y: (F.floor(y / 100), F.floor(x / 100))))
+    assert tuple(got[1][0]) == (50, 50) and tuple(got[1][-1]) == (8050, 50)  # ports hold
+    assert (got[1][1:-1, 1] > 300).all()  # on water, though east comes before north once both are all water
+    assert (np.hypot(*(got[1] - [(1000 * i + 50, 50) for i in range(9)]).T) <= 5 * 260 + 1e-6).all()
+    assert np.allclose(got[2][:, 1], 5050)
+
+
+def test_overrides_by_part(spark):
+    canon = spark.createDataFrame([(1, "a", 5, None, 0.0, 0.0), (2, "b", 6, "b.jpg", 1.0, 1.0)], "id long, name string, pop long, inkarnate string, lon double, lat double")
+    found = spark.createDataFrame([(1, 1, "x", None, 7.0), (2, 1, None, "x.jpg", None), (3, 1, "y", None, None), (4, None, "z", "z", 1.0)], "key long, match_id long, name string, inkarnate string, population double")
+    moved = spark.createDataFrame([(1, 2, 3.0, 4.0), (2, None, 9.0, 9.0)], "key long, match_id long, new_lon double, new_lat double")
+    assert rows(overrides.apply(canon, found, moved), *canon.columns) == [(1, "y", 7, "x.jpg", 0.0, 0.0), (2, "b", 6, "b.jpg", 3.0, 4.0)]
+    assert rows(overrides.applied(found, moved), "names", "links", "populations", "moves") == [(2, 1, 1, 1)]
+    changes = spark.createDataFrame([(1, None), (3, "c")], "id long, name string")
+    assert rows(overrides.upsert(canon.select("id", "name"), changes, "id"), "id", "name") == [(2, "b"), (3, "c")]
+
+
+def test_render_stamps_decide_what_is_stale(spark, tmp_path):
+    tiles = spark.createDataFrame([("old", 10.0), ("new", 30.0), ("unknown", None)], "tile string, made double")
+    names = lambda b: [r.tile for r in provenance.stale(tiles, b).collect()]
+    s = provenance.RenderStamp(spark, str(tmp_path / "render.stamp"))
+    assert s.sync({"code": "1"}, 20.0) == (provenance.ADOPTED, "adopted") and names(provenance.ADOPTED) == []
+    assert s.sync({"code": "1"}, 25.0) == (provenance.ADOPTED, "")
+    assert s.sync({"code": "2"}, 20.0) == (20.0, "moved: code") and names(20.0) == ["old"]
+    assert s.sync({"code": "2"}, 99.0) == (20.0, "")  # kept, not renewed
+    assert s.invalidate({"code": "3"}, 40.0) == 40.0 and s.read()["components"] == {"code": "2"} and names(40.0) == ["old", "new"]
+    assert s.adopt({"code": "3"}) == provenance.ADOPTED and s.sync({"code": "3"}, 50.0) == (provenance.ADOPTED, "")
+    spark.createDataFrame([("no json",)], "value string").write.mode("overwrite").text(s.path)
+    assert s.sync({"code": "3"}, 60.0) == (60.0, "unreadable") and names(None) == []
+    first = provenance.RenderStamp(spark, str(tmp_path / "other.stamp"))
+    assert first.sync({"code": "1"}, 70.0, adopt=False) == (70.0, "condemned")
+
+
+def test_bridges_and_frames(spark):
+    near = spark.createDataFrame([(0, 0, 3, 0.5), (0, 0, 4, 1.2), (0, 1, 3, 1.1), (0, 1, 4, 0.1), (0, 2, 4, 0.0)], "row long, col long, line long, d double")
+    assert rows(places.bridges(near, F.col("line") % 3 == 0, 1.5, 1.0), "row", "col") == [(0, 0)]
+    tiles = spark.createDataFrame([(10, 512, 511), (10, 512, 511), (10, 0, 0)], "z int, x long, y long")
+    points = spark.createDataFrame([(0.1, 0.1, "b"), (-0.01, -0.01, "a"), (-0.03, 0.1, "c")], "lon double, lat double, tag string")
+    assert rows(places.in_frame(tiles, points, ["a", "b", "c"]), "z", "x", "y", "tags") == [(10, 512, 511, ["a", "b"])]
