@@ -19,6 +19,12 @@ def test_query_equals_its_sql(spark, sf, con, name):
     assert differences(spark, sf, registry.QUERIES[name], registry.ORACLE_SQL[name], con) == ""
 
 
+def test_luminance_equals_its_sql_to_the_last_digit(spark, sf, con):
+    want = dict(((r, c), lum) for r, c, lum in con.sql(registry.ORACLE_SQL["luminance"]).fetchall())
+    got = {(r["row"], r["col"]): r["lum"] for r in registry.QUERIES["luminance"](spark, sf).collect()}
+    assert got == want
+
+
 def test_every_query_without_sql_has_rows(spark, sf):
     for name in registry.QUERIES.keys() - registry.ORACLE_SQL.keys() - {"render_tiles", "render_biome_tiles"}:
         assert registry.QUERIES[name](spark, sf).count() > 0, name
