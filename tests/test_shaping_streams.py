@@ -32,3 +32,10 @@ def test_means_over_batches_equal_plain_ones():
     for size in (1, 2, 3, 5, 64):
         got = pa.Table.from_batches(shaping._rolling("v", 3)(iter(whole.to_batches(max_chunksize=size))), schema)
         assert got.column("seq").equals(whole.column("seq")) and np.allclose(got.column("v").to_numpy(), want, rtol=1e-14, atol=0)
+
+
+def test_rivers_move_no_inserted_vertex_to_the_ground(spark, sf, monkeypatch):
+    plan = above_the_cut(registry.QUERIES["shape_rivers"](spark, sf))
+    assert not any(w in plan for w in ("Exchange", "Sort", "Window")), plan
+    monkeypatch.setattr(shaping, "GROUND_BROADCAST", 0)  # where the ground is too large to be sent, vertices are
+    assert differences(spark, sf, registry.QUERIES["shape_rivers"], registry.ORACLE_SQL["shape_rivers"], connect(sf)) == ""
