@@ -104,37 +104,73 @@ def _light(e: np.ndarray, px: float, z: float) -> np.ndarray:
 
 def distance(target: np.ndarray) -> np.ndarray:
     """Exact distance in pixels to the nearest true cell; infinite if there is none."""
-    n = target.shape[1]
-    far = float(4 * (n + target.shape[0]))
+    h, n = target.shape
+    far = float(4 * (n + h))
     col = np.arange(n)
     left = np.maximum.accumulate(np.where(target, col, -far), axis=1)
     right = np.minimum.accumulate(np.where(target, col, far)[:, ::-1], axis=1)[:, ::-1]
     g = np.minimum(col - left, right - col) ** 2
-    rows = np.arange(target.shape[0])
-    out = np.empty(target.shape)
-    for y in rows:
-        out[y] = (g + ((rows - y) ** 2)[:, None]).min(axis=0)
+    out = g.copy()
+    for d in range(1, h):
+        if d * d >= min(out.max(), far):  # rows farther off are no nearer to any cell
+            break
+        np.minimum(out[d:], g[:-d] + d * d, out=out[d:])
+        np.minimum(out[:-d], g[d:] + d * d, out=out[:-d])
     return np.where(out >= far, np.inf, np.sqrt(out))
 
 
-def _fbm(name: str, x: np.ndarray, y: np.ndarray, use: str | None = None) -> np.ndarray:
+def _at(where: np.ndarray, f, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``f`` where it is asked for, 0 elsewhere."""
+    out = np.zeros(x.shape)
+    if where.any():
+        out[where] = f(x[where], y[where])
+    return out
+
+
+def _fbm(name: str, x: np.ndarray, y: np.ndarray, use: str | None = None, where: np.ndarray | None = None) -> np.ndarray:
     f = registry.field(name)
-    return simplex_fbm_at(x.ravel(), y.ravel(), registry.octaves(name, use), registry.wavelength(name, use), registry.seed(name), f.gain).reshape(x.shape)
+    of = lambda a, b: simplex_fbm_at(a, b, registry.octaves(name, use), registry.wavelength(name, use), registry.seed(name), f.gain)
+    return of(x.ravel(), y.ravel()).reshape(x.shape) if where is None else _at(where, of, x, y)
+
+
+def _around(a: np.ndarray) -> np.ndarray:
+    """True cells and the eight around each."""
+    p = np.pad(a, 1)
+    rows = p[:-2] | p[1:-1] | p[2:]
+    return rows[:, :-2] | rows[:, 1:-1] | rows[:, 2:]
+
+
+def _place(mx: np.ndarray, my: np.ndarray, top: int, left: int) -> tuple[np.ndarray, np.ndarray]:
+    return (90 - np.degrees(2 * np.arctan(np.exp(my / MERC_R)) - np.pi / 2)) / CELL - 0.5 - top, (np.degrees(mx / MERC_R) + 180) / CELL - 0.5 - left
+
+
+def _share(window: dict[str, np.ndarray], top: int, left: int, mx: np.ndarray, my: np.ndarray) -> np.ndarray:
+    """The share of water, along a warped coast."""
+    wet = np.where(np.isnan(window["water"]), np.nan, np.isin(window["water"], (1, 2)).astype(float))
+    wx, wy = 900 * _fbm("coast.warp.x", mx, my), 900 * _fbm("coast.warp.y", mx, my)
+    return _sample(wet, *_place(mx + wx, my + wy, top, left))
+
+
+def _biome(window: dict[str, np.ndarray], top: int, left: int, mx: np.ndarray, my: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The biome along warped borders; unwarped but where it is asked for."""
+    bx, by = 900 * _fbm("biome.warp.x", mx, my, where=where), 900 * _fbm("biome.warp.y", mx, my, where=where)
+    return _near(window["biome"], *_place(mx + bx, my + by, top, left))
 
 
-def terrain(window: dict[str, np.ndarray], top: int, left: int, z: int, x: int, y: int, amplitude: float = 1.0) -> dict[str, np.ndarray]:
-    """The tile's aligned fields: anchor and detailed elevation, water share and mask, biome, capacity."""
+def terrain(window: dict[str, np.ndarray], top: int, left: int, z: int, x: int, y: int, amplitude: float = 1.0, shown: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The tile's aligned fields: anchor and detailed elevation, water share and mask, biome, capacity.
+
+    With ``shown``, pixels of the padded grid, what no land among these or beside one needs is left out; the colours of those shown stay the same.
+    """
     mx, my, px = _grid(z, x, y)
     mx, my = np.meshgrid(mx, my)
-    place = lambda a, b: ((90 - np.degrees(2 * np.arctan(np.exp(b / MERC_R)) - np.pi / 2)) / CELL - 0.5 - top, (np.degrees(a / MERC_R) + 180) / CELL - 0.5 - left)
-    r, c = place(mx, my)
+    r, c = _place(mx, my, top, left)
     anchor = _sample(window["elev"], r, c)
-    wet = np.where(np.isnan(window["water"]), np.nan, np.isin(window["water"], (1, 2)).astype(float))
-    wx, wy = 900 * _fbm("coast.warp.x", mx, my), 900 * _fbm("coast.warp.y", mx, my)
-    share = _sample(wet, *place(mx + wx, my + wy))
+    share = _share(window, top, left, mx, my)
     mask = share >= 0.5
-    bx, by = 900 * _fbm("biome.warp.x", mx, my), 900 * _fbm("biome.warp.y", mx, my)
-    biome = _near(window["biome"], *place(mx + bx, my + by))
+    land = ~mask & ~np.isnan(anchor)
+    near = np.ones(mask.shape, bool) if shown is None else _around(land & shown)
+    biome = _biome(window, top, left, mx, my, near)
     capacity = _sample(window["capacity"], r, c)
     table = np.full(256, OTHER_RELIEF, float)
     for b in BIOMES:
@@ -142,16 +178,24 @@ def terrain(window: dict[str, np.ndarray], top: int, left: int, z: int, x: int,
     amp = table[np.nan_to_num(biome, nan=255).astype(int)]
     gy_, gx_ = np.gradient(np.nan_to_num(anchor), px)
     rough = 0.6 + np.clip(np.degrees(np.arctan(np.hypot(gx_, gy_))) / 30, 0, 1)
-    inc = np.zeros(mx.shape)
+    hollow = np.clip((_sample(_box(window["elev"]), r, c) - anchor) / 28, 0, 1)
+    inc, low = np.zeros(mx.shape), near & (hollow > 0) & (amp != 0)  # elsewhere nothing is cut in
     for i in range(1, (registry.DRAINAGE_ACTIVE if px <= 20 else registry.DRAINAGE_COARSE) + 1):
         f = 1 / registry.wavelength("drainage", rung=i)
-        n = simplex_at((mx * f).ravel(), (my * f).ravel(), registry.seed("drainage", i)).reshape(mx.shape)
-        inc += registry.DRAINAGE_WEIGHT[i - 1] * np.exp(-((n / registry.DRAINAGE_WIDTH[i - 1]) ** 2))
-    hollow = np.clip((_sample(_box(window["elev"]), r, c) - anchor) / 28, 0, 1)
-    detail = anchor + amplitude * (_fbm("terrain", mx, my, "relief") * amp * rough * 0.35 - np.minimum(inc, 1) * hollow * amp * 0.65)
+        cut = lambda a, b, i=i, f=f: registry.DRAINAGE_WEIGHT[i - 1] * np.exp(-((simplex_at(a * f, b * f, registry.seed("drainage", i)) / registry.DRAINAGE_WIDTH[i - 1]) ** 2))
+        inc += _at(low, cut, mx, my)
+    relief = _fbm("terrain", mx, my, "relief", near & ~np.isnan(anchor) & (amp != 0))
+    detail = anchor + amplitude * (relief * amp * rough * 0.35 - np.minimum(inc, 1) * hollow * amp * 0.65)
     detail = np.where(mask, np.minimum(detail, anchor), detail)
     detail = np.where(~mask & (anchor > 40) & (detail < 1), 1.0, detail)
-    return {"mx": mx, "my": my, "anchor": anchor, "detail": detail, "share": share, "mask": mask, "biome": biome, "capacity": capacity, "px": px}
+    return {"mx": mx, "my": my, "anchor": anchor, "detail": detail, "share": share, "mask": mask, "biome": biome, "capacity": capacity, "px": px, "shown": land if shown is None else land & shown}
+
+
+def biomes(window: dict[str, np.ndarray], top: int, left: int, z: int, x: int, y: int) -> dict[str, np.ndarray]:
+    """Water mask and biome of a tile without its padding: all that the biome layer shows."""
+    mx, my = np.meshgrid(*[v[PAD:-PAD] for v in _grid(z, x, y)[:2]])
+    mask = _share(window, top, left, mx, my) >= 0.5
+    return {"mask": mask, "biome": _biome(window, top, left, mx, my, ~mask)}
 
 
 def _box(a: np.ndarray) -> np.ndarray:
@@ -192,13 +236,16 @@ def _plants(out: np.ndarray, t: dict[str, np.ndarray], biome: np.ndarray) -> np.
         cover[b[0]], canopy[b[0]], meadow[b[0]] = b[4], rgb(b[5]), rgb(b[6])
     e = np.nan_to_num(t["detail"], nan=-1e4)
     cap = np.sqrt(np.clip(np.nan_to_num(t["capacity"], nan=200.0) / 200, 0, 1))
-    regional = _fbm("veg.regional", t["mx"], t["my"])
-    open_ = _smooth(np.clip(0.5 + 0.5 * _fbm("veg.openness", t["mx"], t["my"]) + 0.28 * regional, 0, 1), 0.36, 0.64)
+    bare = cover[biome] * cap * (1 - _smooth(e, 1800, 2800))
+    green = t["shown"] & (bare > 0)
+    regional = _fbm("veg.regional", t["mx"], t["my"], where=green)
+    open_ = _smooth(np.clip(0.5 + 0.5 * _fbm("veg.openness", t["mx"], t["my"], where=green) + 0.28 * regional, 0, 1), 0.36, 0.64)
     sand = _smooth(np.nan_to_num(t["share"]), 0.40, 0.47) * (1 - _smooth(e, 6, 14))
-    veg = np.minimum(cover[biome] * cap * (1 - _smooth(e, 1800, 2800)) * (1 + 0.12 * regional), 1) * (1 - 0.9 * sand)
+    veg = np.minimum(bare * (1 + 0.12 * regional), 1) * (1 - 0.9 * sand)
     lat = 2 * np.arctan(np.exp(t["my"] / MERC_R)) - np.pi / 2
     line = 1100 + 3300 * np.maximum(np.cos(lat), 0) ** 2
-    snow = np.maximum(_smooth(e + 180 * _fbm("veg.mottle2", t["mx"], t["my"]) - line, -300, 200), np.where(biome == 1, 0.85, 0))
+    rim = t["shown"] & (e - line > -300 - 540) & (e - line < 200 + 540)  # simplex noise stays within 3, so the rest is bare or white
+    snow = np.maximum(_smooth(e + 180 * _fbm("veg.mottle2", t["mx"], t["my"], where=rim) - line, -300, 200), np.where(biome == 1, 0.85, 0))
     lum = np.clip((out * (0.3, 0.59, 0.11)).sum(axis=2) / 160, 0.45, 1.2)[:, :, None]
     a, m = (veg * open_ * (1 - _smooth(snow, 0.15, 0.55)))[:, :, None], (veg * (1 - open_) * 0.7 * (1 - _smooth(snow, 0.25, 0.7)))[:, :, None]
     out = out * (1 - a - m) + canopy[biome] * lum * a + meadow[biome] * lum * m
@@ -223,11 +270,18 @@ def _window(cells: pa.ChunkedArray, rows: np.ndarray, cols: np.ndarray) -> tuple
     return out, top * SIDE, left * SIDE
 
 
+def tile_pixels(window: dict[str, np.ndarray], top: int, left: int, z: int, x: int, y: int, layer: str) -> np.ndarray:
+    """(256, 256, 3) colours of a tile: those of its padded grid without the padding, by as little noise as gives them."""
+    if layer == "biome":
+        return paint(biomes(window, top, left, z, x, y), layer)
+    return paint(terrain(window, top, left, z, x, y), layer)[PAD:-PAD, PAD:-PAD]
+
+
 def _tile(layer: str):
     def run(key, table):
         z, x, y = (k.as_py() for k in key)
         window, top, left = _window(table.column("cells"), table.column("chunk_row").to_numpy(), table.column("chunk_col").to_numpy())
-        colours = paint(terrain(window, top, left, z, x, y), layer)[PAD:-PAD, PAD:-PAD]
+        colours = tile_pixels(window, top, left, z, x, y, layer)
         return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x]), "y": pa.array([y]), "png": pa.array([png(np.rint(colours).astype(np.uint8))], pa.binary())})
 
     return run
