@@ -274,7 +274,9 @@ def tile_pixels(window: dict[str, np.ndarray], top: int, left: int, z: int, x: i
     """(256, 256, 3) colours of a tile: those of its padded grid without the padding, by as little noise as gives them."""
     if layer == "biome":
         return paint(biomes(window, top, left, z, x, y), layer)
-    return paint(terrain(window, top, left, z, x, y), layer)[PAD:-PAD, PAD:-PAD]
+    shown = np.zeros((TILE + 2 * PAD, TILE + 2 * PAD), bool)
+    shown[PAD:-PAD, PAD:-PAD] = True
+    return paint(terrain(window, top, left, z, x, y, shown=shown), layer)[PAD:-PAD, PAD:-PAD]
 
 
 def _tile(layer: str):
