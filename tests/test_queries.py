@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 
 from terrella.plans import registry
@@ -25,6 +26,15 @@ def test_luminance_equals_its_sql_to_the_last_digit(spark, sf, con):
     assert got == want
 
 
+def test_densify_equals_its_sql_at_ties_to_the_last_digit(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql("CREATE TABLE events AS SELECT k AS event_id, TIMESTAMP '2024-01-01' AS ts, k % 9 AS user_id, 'view' AS event_type, (k + 0.5) / 100000e0 AS value FROM range(9000) t(k)")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = sorted(con.sql(f"SELECT line, seq, part, x, y FROM ({registry.ORACLE_SQL['densify']})").fetchall())
+    got = sorted(tuple(r) for r in registry.QUERIES["densify"](spark, str(tmp_path)).select("line", "seq", "part", "x", "y").collect())
+    assert [(a, b) for a, b in zip(got, want, strict=True) if a != b] == []
+
+
 def test_every_query_without_sql_has_rows(spark, sf):
     for name in registry.QUERIES.keys() - registry.ORACLE_SQL.keys() - {"render_tiles", "render_biome_tiles"}:
         assert registry.QUERIES[name](spark, sf).count() > 0, name

@@ -22,6 +22,14 @@ def test_roads_move_no_inserted_vertex(spark, sf):
     assert not any(w in plan for w in ("Exchange", "Sort", "Window")), plan
 
 
+def test_densify_shuffles_the_events_once(spark, sf):
+    df = registry.QUERIES["densify"](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+    moved = plan.split("Exchange")[1].split("Project [")[1].split("]")[0].split(", ")
+    assert len(moved) == 4, moved  # the line, the two keys of its order (x comes of one) and what y comes of
+
+
 def test_means_over_batches_equal_plain_ones():
     rng, rows = np.random.default_rng(5), []
     for n in (1, 2, 6, 7, 8, 40):
