@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from terrella.operators import shaping
+from terrella.operators import noise, shaping
 from terrella.plans import registry
 
 from .oracle import connect, differences
@@ -47,3 +50,44 @@ def test_rivers_move_no_inserted_vertex_to_the_ground(spark, sf, monkeypatch):
     assert not any(w in plan for w in ("Exchange", "Sort", "Window")), plan
     monkeypatch.setattr(shaping, "GROUND_BROADCAST", 0)  # where the ground is too large to be sent, vertices are
     assert differences(spark, sf, registry.QUERIES["shape_rivers"], registry.ORACLE_SQL["shape_rivers"], connect(sf)) == ""
+
+
+#: Bends, a segment of several pieces, two vertices, one, a place twice, and one that is not known.
+ODD = [(1, i, 900.0 * i, 300.0 * math.sin(i)) for i in range(12)] + [(2, 0, 0.0, 5000.0), (2, 1, 600000.0, 7000.0), (2, 2, 600100.0, 7000.0)] + [(3, 0, 5.0, 5.0), (3, 1, 50.0, 9.0)]
+ODD += [(4, 7, 80.0, 90.0)] + [(5, i, 700.0 * (i // 2), 800.0) for i in range(8)] + [(6, i, 500.0 * i, None if i in (3, 6, 7) else 100.0 * i) for i in range(10)]
+PULL, WIGGLE = noise.Fbm(4, 4000, 7), noise.Fbm(3, 650, 7)
+
+
+def by_columns(f):
+    """A field that cannot be had at points of arrays."""
+    return lambda x, y: f(x, y)
+
+
+def same_lines(got, want):
+    a, b = (sorted(tuple(math.nan if v is None else v for v in (r.line, r.seq, r.x, r.y)) for r in df.collect()) for df in (got, want))
+    assert len(a) == len(b) > len(ODD) and np.allclose(a, b, rtol=0, atol=1e-6, equal_nan=True)
+
+
+def test_roads_are_shaped_in_one_pass_over_arrays(spark, sf):
+    plan = registry.QUERIES["shape_roads"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "SIN(" not in plan.upper(), plan
+
+
+def test_roads_as_arrays_equal_columns(spark):
+    raw = spark.createDataFrame(ODD, "line long, seq long, x double, y double")
+    assert 600000 / shaping.ROAD_STEP > 2 * shaping.PIECE
+    same_lines(shaping.roads(raw, PULL, WIGGLE), shaping.roads(raw, by_columns(PULL), by_columns(WIGGLE)))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 64])
+def test_means_over_chunks_equal_plain_ones(size):
+    rng, rows = np.random.default_rng(6), []
+    for n in (1, 2, 6, 7, 8, 40):
+        rows += [(k + 1, n, float(v)) for k, v in enumerate(rng.normal(size=n))]
+    want = [sum(rows[i + d][2] for d in range(-3, 4)) / 7 if 3 < k <= n - 3 else 0.0 for i, (k, n, _) in enumerate(rows)]
+    seq, count, v = (np.array(c) for c in zip(*rows, strict=True))
+    of = pa.RecordBatch.from_pydict({"line": list(range(len(rows)))})
+    chunks = ({"seq": seq[i : i + size], "_all": count[i : i + size], "v": v[i : i + size], "_of": of, "_row": np.arange(len(rows))[i : i + size]} for i in range(0, len(rows), size))
+    got = list(shaping._mean(chunks, "v", 3))
+    assert np.allclose(np.concatenate([c["v"] for c in got]), want, rtol=1e-14, atol=0)
+    assert [x for c in got for x in c["_of"].take(pa.array(c["_row"])).column(0).to_pylist()] == of.column(0).to_pylist()
