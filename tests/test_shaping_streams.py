@@ -91,3 +91,44 @@ def test_means_over_chunks_equal_plain_ones(size):
     got = list(shaping._mean(chunks, "v", 3))
     assert np.allclose(np.concatenate([c["v"] for c in got]), want, rtol=1e-14, atol=0)
     assert [x for c in got for x in c["_of"].take(pa.array(c["_row"])).column(0).to_pylist()] == of.column(0).to_pylist()
+
+
+def spot(x, y):
+    from pyspark.sql import functions as F
+
+    return F.floor(y / 100).cast("long"), F.floor(x / 100).cast("long")
+
+
+def spot_at(x, y):
+    return np.floor(y / 100).astype(np.int64), np.floor(x / 100).astype(np.int64)
+
+
+class Spot:
+    __call__, at = staticmethod(spot), staticmethod(spot_at)
+
+
+def test_rivers_are_shaped_in_one_pass_over_arrays(spark, sf):
+    plan = registry.QUERIES["shape_rivers"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "SIN(" not in plan.upper() and "Join" not in plan, plan
+
+
+@pytest.mark.parametrize("ground", ["some", "none", "twice"])
+def test_rivers_as_arrays_equal_columns(spark, ground):
+    raw = spark.createDataFrame(ODD, "line long, seq long, x double, y double")
+    rows = [] if ground == "none" else [(r, c, None if r % 5 == 0 else (r * 37 + c * 91) % 60) for r in range(-6, 90) for c in range(-4, 130) if (r + c) % 7]
+    cells = spark.createDataFrame(rows + rows[:500] * (ground == "twice"), "row long, col long, elev long")
+    bands = [(130.0, noise.Fbm(3, 1600, 47)), (45.0, noise.Fbm(3, 420, 48))]
+    got = shaping.rivers(raw, bands, PULL, cells, Spot())
+    same_lines(got, shaping.rivers(raw, [(a, by_columns(f)) for a, f in bands], by_columns(PULL), cells, spot))
+    assert ("SIN(" in got._jdf.queryExecution().executedPlan().toString().upper()) == (ground == "twice")  # cells in two rows double vertices: that is left to joins
+
+
+@pytest.mark.parametrize("name", ["shape_roads", "shape_rivers"])
+def test_shapes_equal_their_sql_where_a_place_is_unknown(spark, tmp_path, name):
+    import duckdb
+
+    from .test_queries import unknown_places
+
+    con = duckdb.connect()
+    unknown_places(con, tmp_path)
+    assert differences(spark, str(tmp_path), registry.QUERIES[name], registry.ORACLE_SQL[name], con) == ""
